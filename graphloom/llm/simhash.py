@@ -77,25 +77,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def forest(values: np.ndarray, radius: int = RADIUS, rows: int = 512) -> list[tuple[int, int]]:
-    """Index pairs that span the groups of ``values`` linked within the radius; memory is ``rows`` x len(values)."""
-    n = len(values)
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Index pairs that span the groups of ``values`` linked within the radius: each value is compared once with those
+    that no group has reached yet, so time is at most quadratic in a bucket's bounded size and memory linear."""
     out = []
-    for k in range(0, n, rows):
-        near = np.bitwise_count(values[k : k + rows, None] ^ values[None, k:]) <= radius
-        a, b = np.nonzero(near)
-        for i, j in zip((a + k).tolist(), (b + k).tolist()):
-            if i < j and (x := find(i)) != (y := find(j)):
-                root[max(x, y)] = min(x, y)
-                out.append((i, j))
+    left = np.arange(len(values))
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            near = np.bitwise_count(values[left] ^ values[i]) <= radius
+            found = left[near].tolist()
+            out += [(i, j) for j in found]
+            reached += found
+            left = left[~near] if found else left
     return out
 
 
