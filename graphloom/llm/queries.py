@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, simhash, substring_dedup, token_files
+from graphloom.llm import chat, fingerprints, maxscore, packing, simhash, substring_dedup, token_files
 from graphloom.llm.shared import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,15 +35,38 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: A conversation whose texts are made of the template's own marks.
+PLANTED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    values = ", ".join(f"({c}L, {n}L, '{role}', r'{text}')" for c, n, role, text in PLANTED)
+    planted = spark.sql(f"SELECT * FROM VALUES {values} AS t(conv_id, turn, role, text)")
+    return chat.digests(chat.format_conversations(rows.unionByName(planted)))
+
+
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", maxscore.quantized(F.col("embedding")).alias("v"))
+    return maxscore.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
+    "op4_chat": op4_chat,
+    "op6_maxscore": op6_maxscore,
     "op8_packing": op8_packing,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 OP1_SQL = r"""
@@ -66,4 +89,34 @@ SELECT doc_id,
 FROM ranked GROUP BY doc_id
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
+OP4_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), marked AS (
+  SELECT *, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS previous,
+         9 + length(role) + 6 + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ')) AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) - 1 AS BIGINT) AS formatted_chars,
+       bool_and((previous, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AS valid
+FROM marked GROUP BY conv_id
+"""
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_chat": OP4_SQL, "op6_maxscore": OP6_SQL}
