@@ -1,76 +1,150 @@
-"""Batches of texts through a tokenizer of the tokenizers library, each distinct piece of text encoded once.
+"""Batches of texts through a tokenizer of the tokenizers library, each distinct word encoded once per worker.
 
 Both supported kinds of tokenizer split a text by a pattern before they merge bytes, and never merge across a border of
-that pattern.  Some borders can be seen without the pattern: where a space or a line feed follows a character that is
-no white space, and between a run of Latin letters and one of ``,.;:!?``.  Between such borders the library encodes each
-distinct piece once per worker and a table of bounded size keeps the ids.  A text with other white space, where the
-byte-level pattern looks ahead over a border, goes to the library whole; so does every text of another kind of tokenizer.
+that pattern.  Some borders can be seen without the pattern: a single space or line feed between two characters that are
+no white space, and the place between a run of Latin letters and one of ``,.;:!?``.  Words between such borders are
+looked up in a table of bounded size; those it lacks go to the library, many in one string, and the ids come apart again
+at the tokens that begin (byte-level) or end (words) a word.  A text with any other white space goes to the library whole,
+and so does every text of another kind of tokenizer.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-BYTE_LEVEL = re.compile(rf"[ \n]*[{LETTERS}]+(?=[ ,.;:!?\n])|[ \n]*[^ \n]+|[ \n]+")
-WORDS = re.compile(rf"[{LETTERS}]+(?=[ ,.;:!?\n])|[^ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+WORD = re.compile(rf"([\n\0]?)([{LETTERS}]+)([,.;:!?]*)")
+#: White space of Unicode, and what Python takes for it, other than space and line feed.
+OTHER_SPACE = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+RUNS = ["  ", " \n", "\n ", "\n\n"]
+JOINED = 2048
 
 
 class Encoder:
     """``ids(texts)``: for each text its ids, as the bytes of little-endian integers of ``dtype``."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         kind = json.loads(self.tokenizer.to_str())
         split, normalizer = kind["pre_tokenizer"] or {}, kind["normalizer"]
-        level = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not normalizer
-        words = kind["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in split.get("pretokenizers", [])] == ["Split", "ByteLevel"]
         plain = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in kind["added_tokens"])
-        self.pattern = BYTE_LEVEL if level and plain else WORDS if words and plain else None
-        self.whole = OTHER_SPACE if level else None
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.keep, self.table = keep, {}
+        self.byte_level = bool(plain and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not normalizer)
+        self.words = bool(plain and kind["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in split.get("pretokenizers", [])] == ["Split", "ByteLevel"])
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.dtype, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
+        self.begins, self.ends = np.zeros(size, bool), np.zeros(size, bool)
+        for token, i in vocabulary.items():
+            self.begins[i] = token.startswith("Ġ")
+            self.ends[i] = token.endswith("</w>")
+        self.feed = vocabulary.get("Ċ", -1)
+        self.keep, self.table, self.older = keep, {}, {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _runs_of_letters(self, words: list[str], glue: str) -> list[bytes]:
+        """Ids of words of letters alone; with the glue " " each counts as preceded by a space (byte-level only)."""
+        out = []
+        for k in range(0, len(words), JOINED):
+            part = words[k : k + JOINED]
+            lead = glue if glue == " " and self.byte_level else ""
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + glue.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            if not self.byte_level:
+                stops = np.nonzero(self.ends[ids])[0] + 1
+                starts = np.append(0, stops[:-1])
+            elif lead:
+                starts = np.nonzero(self.begins[ids])[0]
+                stops = np.append(starts[1:], len(ids))
+            else:
+                feeds = np.nonzero(ids == self.feed)[0]
+                starts, stops = np.append(0, feeds + 1), np.append(feeds, len(ids))
+            if len(starts) != len(part):  # a letter that the library's tables class otherwise
+                out += self._library([lead + w for w in part])
+                continue
+            width, raw = self.dtype.itemsize, ids.tobytes()
+            out += [raw[a:b] for a, b in zip((starts * width).tolist(), (stops * width).tolist())]
+        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, unknown: set[str]) -> None:
+        """Enter pieces into the table.  A piece stands for itself after a space, or after nothing if it begins with a
+        line feed or "\\0"; without a byte-level tokenizer, spaces have no ids and both are the same."""
+        table, older, match = self.table, self.older, WORD.fullmatch
+        spaced, plain, bare, glued, rest = self.byte_level, [], [], [], []
+        for p in unknown:
+            if (ids := older.get(p)) is not None:
+                table[p] = ids
+            elif (m := match(p)) is None:
+                rest.append(p)
+            elif m.end(2) == len(p):
+                if p[0] == "\n":
+                    glued.append((p, "\n", "\0" + p[1:], ""))
+                else:
+                    (bare if p[0] == "\0" else plain).append(p)
+            else:
+                lead, word, after = m.groups()
+                glued.append((p, lead if lead == "\n" else "", "\0" + word if lead else word, after))
+        for _, _, base, _ in glued:
+            if base not in table:
+                if (ids := older.get(base)) is not None:
+                    table[base] = ids
+                else:
+                    table[base] = b""  # so that it is listed once
+                    (bare if base[0] == "\0" else plain).append(base)
+        plain, bare = list(dict.fromkeys(plain)), list(dict.fromkeys(bare))
+        table.update(zip(plain, self._runs_of_letters(plain, " ")))
+        table.update(zip(bare, self._runs_of_letters([p[1:] for p in bare], "\n" if spaced else " ")))
+        marks = list({x for _, lead, _, after in glued for x in (lead, after) if x})
+        of_mark = dict(zip(marks, self._library(marks)))
+        of_mark[""] = b""
+        for p, lead, base, after in glued:
+            table[p] = of_mark[lead] + table[base] + of_mark[after]
+        table.update(zip(rest, self._library([p[1:] if p[0] == "\0" else " " + p if spaced and p[0] != "\n" else p for p in rest])))
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if any(map(text.__contains__, OTHER_SPACE)):
+            return None
+        if self.words:
+            return text.split()
+        if any(map(text.__contains__, RUNS)) or text[0] in " \n" or text[-1] in " \n":
+            return None
+        # An empty piece would stand for a space of its own: RUNS has excluded it.
+        return ("\0" + text).replace("\n", " \n").split(" ")
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[bytes] = [b""] * len(texts)
         pieces, whole = {}, []
         for k, text in enumerate(texts):
             if not text:
-                out[k] = b""
-            elif self.pattern is None or self.whole and self.whole.search(text):
+                continue
+            own = self._pieces(text) if (self.byte_level or self.words) and "\0" not in text else None
+            if own is None:
                 whole.append(k)
             else:
-                pieces[k] = self.pattern.findall(text)
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
+                pieces[k] = own
+        for k, ids in zip(whole, self._library([texts[k] for k in whole])):
             out[k] = ids
-        get = self.table.get
-        found = {k: list(map(get, p)) for k, p in pieces.items()}
-        unknown = list({p for k, ids in found.items() if None in ids for p, i in zip(pieces[k], ids) if i is None})
-        fresh = dict(zip(unknown, self._encode(unknown))) if unknown else {}
-        for k, ids in found.items():
-            if None in ids:
-                ids = [fresh[p] if i is None else i for p, i in zip(pieces[k], ids)]
-            out[k] = b"".join(ids)
-        if len(self.table) + len(fresh) > self.keep:
-            self.table = {}
-        self.table.update(fresh)
+        unknown = set().union(*pieces.values()) - self.table.keys() if pieces else ()
+        if unknown:
+            self._learn(unknown)
+        get = self.table.__getitem__
+        for k, own in pieces.items():
+            out[k] = b"".join(map(get, own))
+        if len(self.table) > self.keep:
+            self.older, self.table = self.table, {}
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Encoder(path)
 

@@ -245,7 +245,8 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield _batch(rows)
 
-    return files.repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
