@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, fingerprints, maxscore, packing, simhash, substring_dedup, token_files
+from graphloom.llm import chat, fingerprints, maxscore, packing, quality, simhash, substring_dedup, token_files, toxicity
 from graphloom.llm.shared import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(planted)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", maxscore.quantized(F.col("embedding")).alias("v"))
     return maxscore.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
@@ -59,14 +63,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
     "op4_chat": op4_chat,
+    "op5_toxicity": op5_toxicity,
     "op6_maxscore": op6_maxscore,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_quality": op10_quality,
 }
 
 OP1_SQL = r"""

@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its n-grams of 4 to 6 characters, in lower case with white space as one space, hashed into a fixed
+A text is the set of its n-grams of 4 and 5 characters, in lower case with white space as one space, hashed into a fixed
 number of features.  Over the labelled sample each feature has the ratio of its smoothed share in toxic documents to that
 in others; its logarithm scales the feature.  Features whose shares differ by less than sampling error are left out, so a
 long text is not scored by the sum of many accidental ones.  A logistic regression with an L2 penalty on top of the
@@ -10,30 +10,28 @@ scaled features gives the score.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import portions
-from graphloom.llm.labelled import code_points, fold, mixed, sigmoid, training_sample
+from graphloom.llm.labelled import code_points, fold, mixed, scored, sigmoid, training_sample
 
 SPACE = re.compile(r"\s+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    orders: tuple[int, ...] = (4, 5, 6)
+    orders: tuple[int, ...] = (4, 5)
     bits: int = 20
     smoothing: float = 1.0
     least_z: float = 4.5  # standard errors between the two shares
     penalty: float = 0.1
-    rounds: int = 300
-    sample_rows: int = 12_000
-    sample_chars: int = 48_000_000
+    rounds: int = 250
+    sample_rows: int = 4_000
+    sample_chars: int = 14_000_000
 
 
 SETTINGS = Settings()
@@ -115,3 +113,27 @@ def train(texts: list[str | None], toxic: np.ndarray, s: Settings = SETTINGS) ->
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, label: str = "toxic") -> Model:
     return train(*training_sample(docs, labels, label, s.sample_rows, s.sample_chars), s)
+
+
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with the column ``__score`` (double, 0 to 1); only the text is an input.
+
+    A null text is scored as an empty one.  Every whole text is scored, in portions of bounded size.
+    """
+    return scored(docs, model.scores, text_col)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, threshold: float = 0.5) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+
+    Repeated ids are scored row by row; a null id has a null ``held_out``; empty tables give no rows; without usable
+    labels every score is the same (see ``train``); other columns are ignored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = score_documents(rows, fit(docs, labels, s)).withColumnRenamed("__score", "score")
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, threshold: float = 0.5) -> DataFrame:
+    """The documents with a score below the threshold, with all their columns."""
+    return score_documents(docs, fit(docs, labels, s)).where(F.col("__score") < threshold).drop("__score")
