@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, fingerprints, maxscore, packing, quality, simhash, substring_dedup, token_files, toxicity
+from graphloom.llm import chat, fingerprints, maxscore, packing, quality, segmentation, simhash, substring_dedup, token_files, toxicity
 from graphloom.llm.shared import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,16 @@ def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("row_key"), "text")
+    model = tokenizer_file("piece_bpe_32k.model")
+    sampled = segmentation.decode(segmentation.sample_segmentations(rows, model, k=3), model)
+    return sampled.select(
+        "row_key", "sample", F.size("ids").alias("n_pieces"), "log_prob", "perturbed", "inclusion",
+        F.crc32(F.array_join("ids", " ")).alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
@@ -74,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
     "op6_maxscore": op6_maxscore,
+    "op7_segmentation": op7_segmentation,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,

@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its n-grams of 4 and 5 characters, in lower case with white space as one space, hashed into a fixed
+A text is the set of its n-grams of 4 to 7 characters, in lower case with white space as one space, hashed into a fixed
 number of features.  Over the labelled sample each feature has the ratio of its smoothed share in toxic documents to that
 in others; its logarithm scales the feature.  Features whose shares differ by less than sampling error are left out, so a
 long text is not scored by the sum of many accidental ones.  A logistic regression with an L2 penalty on top of the
@@ -24,11 +24,11 @@ SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class Settings:
-    orders: tuple[int, ...] = (4, 5)
+    orders: tuple[int, ...] = (4, 5, 6, 7)
     bits: int = 20
     smoothing: float = 1.0
     least_z: float = 4.5  # standard errors between the two shares
-    penalty: float = 0.1
+    penalty: float = 1.0
     rounds: int = 250
     sample_rows: int = 4_000
     sample_chars: int = 14_000_000
