@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +21,30 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``rows`` labelled documents outside fold 0 and about ``chars`` characters in all.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, train: Callable[[list[str], np.ndarray], Any], id_col: str = "doc_id", text_col: str = "text") -> Any:
+    """``train(texts, labels)`` over at most ``rows`` labelled documents outside fold 0 and about ``chars`` characters in all.
 
     The sample is the first rows in the order of a hash of the id, so it is the same however the tables are stored.  Ids
-    whose label rows disagree, null labels and labels other than 0 and 1 are left out; texts are taken whole.  The first
-    pass looks at ids and lengths only, and the texts of the chosen ids alone reach the driver.
+    whose label rows disagree, null labels and labels other than 0 and 1 are left out; texts are taken whole.  Its bounds
+    fit one task, where the model is trained; the driver receives the model alone, and a lost task is run again.
     """
-    key = F.col(id_col).cast("long")
     agreed = labels.where(f"{label} in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(label).alias("__label"), F.max(label).alias("__other")).where("__label = __other").where(fold(F.col("__id")) != 0)
-    joined = docs.select(key.alias("__id"), F.col(text_col).cast("string").alias("__text")).join(agreed, "__id")
-    first = joined.select("__id", "__label", "__text").orderBy(F.xxhash64("__id"), "__id", "__text").limit(rows).toPandas()
-    size = first["__text"].fillna("").str.len().cumsum()
-    first = first[(size <= chars) | (np.arange(len(first)) < 2)]
-    return first["__text"].fillna("").tolist(), first["__label"].to_numpy().astype(np.float64)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
+    joined = docs.select(F.col(id_col).cast("long").alias("__id"), text).join(agreed, "__id")
+    first = joined.orderBy(F.xxhash64("__id"), "__id", "__text").limit(rows).select("__text", F.col("__label").cast("double").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, known, held = [], [], 0
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held <= chars:
+                    texts.append(text)
+                    known.append(y)
+                    held += len(text)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(known)))], pa.binary())], ["model"])
+
+    made = first.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([], np.empty(0))
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.labelled import code_points, fold, scored, sigmoid, training_sample
+from graphloom.llm.labelled import code_points, fitted, fold, scored, sigmoid
 
 PASSAGE = 400
 CLASSES = 12
@@ -142,7 +142,7 @@ def train(texts: list[str], good: np.ndarray, s: Settings = SETTINGS) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, label: str = "quality") -> Model:
-    return train(*training_sample(docs, labels, label, s.sample_rows, s.sample_chars), s)
+    return fitted(docs, labels, label, s.sample_rows, s.sample_chars, lambda texts, good: train(texts, good, s))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, threshold: float = 0.3) -> DataFrame:

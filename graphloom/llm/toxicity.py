@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import portions
-from graphloom.llm.labelled import code_points, fold, mixed, scored, sigmoid, training_sample
+from graphloom.llm.labelled import code_points, fitted, fold, mixed, scored, sigmoid
 
 SPACE = re.compile(r"\s+")
 
@@ -58,13 +58,21 @@ def features(texts: list[str | None], s: Settings = SETTINGS, wanted: np.ndarray
 
 @dataclass
 class Model:
-    weights: np.ndarray  # by feature, the log-count ratio times what was learned; 0 for features left out
+    ids: np.ndarray  # the features kept, in order
+    weights: np.ndarray  # of each, the log-count ratio times what was learned
     bias: float
     settings: Settings
 
+    def __post_init__(self):
+        self.wanted = np.zeros(1 << self.settings.bits, bool)
+        self.wanted[self.ids] = True
+
+    def __reduce__(self):
+        return Model, (self.ids, self.weights, self.bias, self.settings)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        text, feature = features(texts, self.settings, self.weights != 0)
-        return sigmoid(self.bias + np.bincount(text, self.weights[feature], len(texts)))
+        text, feature = features(texts, self.settings, self.wanted)
+        return sigmoid(self.bias + np.bincount(text, self.weights[np.searchsorted(self.ids, feature)] if len(feature) else [], len(texts)))
 
 
 def train(texts: list[str | None], toxic: np.ndarray, s: Settings = SETTINGS) -> Model:
@@ -73,9 +81,9 @@ def train(texts: list[str | None], toxic: np.ndarray, s: Settings = SETTINGS) ->
     n_toxic, n = float(toxic.sum()), len(texts)
     if not 0 < n_toxic < n:
         share = (n_toxic + 1e-3) / (n + 1)
-        return Model(np.zeros(size), float(np.log(share / (1 - share))), s)
+        return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))), s)
     present = np.zeros((2, size))
-    for i, j in portions(texts):
+    for i, j in portions(texts, 500_000):
         text, feature = features(texts[i:j], s)
         hit = toxic[i:j][text] > 0
         present[1] += np.bincount(feature[hit], minlength=size)
@@ -87,13 +95,13 @@ def train(texts: list[str | None], toxic: np.ndarray, s: Settings = SETTINGS) ->
     kept = np.abs(present[1] / n_toxic - present[0] / (n - n_toxic)) > s.least_z * error
     kept &= present.sum(axis=0) > 0
     rows, columns = [], []
-    for i, j in portions(texts):
+    for i, j in portions(texts, 500_000):
         text, feature = features(texts[i:j], s, kept)
         rows.append(text + i)
         columns.append(feature)
     row, column = np.concatenate(rows), np.concatenate(columns)
     x = ratio[column]
-    w, bias = np.zeros(size), float(np.log(n_toxic / (n - n_toxic)))
+    bias = float(np.log(n_toxic / (n - n_toxic)))
     ids, place = np.unique(column, return_inverse=True)
     w = np.zeros(len(ids))
     # Gradient steps of Adam over the whole sample: few features are left and their number is bounded.
@@ -106,13 +114,11 @@ def train(texts: list[str | None], toxic: np.ndarray, s: Settings = SETTINGS) ->
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 / (1 - 0.9**t) * np.sqrt(1 - 0.999**t)
         w, bias = w - rate * m / (np.sqrt(v) + 1e-9), bias - rate * mb / (vb**0.5 + 1e-9)
-    weights = np.zeros(size)
-    weights[ids] = w * ratio[ids]
-    return Model(weights, bias, s)
+    return Model(ids, w * ratio[ids], bias, s)
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, label: str = "toxic") -> Model:
-    return train(*training_sample(docs, labels, label, s.sample_rows, s.sample_chars), s)
+    return fitted(docs, labels, label, s.sample_rows, s.sample_chars, lambda texts, toxic: train(texts, toxic, s))
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
