@@ -127,7 +127,7 @@ class Plan:
             self.leave(free, first, count)
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 96, large: float = 0.125) -> Plan:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 128, large: float = 0.125) -> Plan:
     """Where the pieces of each length go; ``histogram`` has the number of pieces by length."""
     out = Plan(capacity)
     lengths = sorted((s for s in histogram if s > large * capacity), reverse=True)
@@ -208,7 +208,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0, groups: int = 96, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0, groups: int = 128, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset)``: a row per piece, and its place.
 
     A null or empty text is its end id alone.  Rows that repeat an id, and null ids, are documents of their own.  An
