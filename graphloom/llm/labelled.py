@@ -29,9 +29,11 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
     fit one task, where the model is trained; the driver receives the model alone, and a lost task is run again.
     """
     agreed = labels.where(f"{label} in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(label).alias("__label"), F.max(label).alias("__other")).where("__label = __other").where(fold(F.col("__id")) != 0)
+    key = F.col(id_col).cast("long").alias("__id")
+    chosen = agreed.join(docs.select(key), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(rows)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
-    joined = docs.select(F.col(id_col).cast("long").alias("__id"), text).join(agreed, "__id")
-    first = joined.orderBy(F.xxhash64("__id"), "__id", "__text").limit(rows).select("__text", F.col("__label").cast("double").alias("y"))
+    # At most ``rows`` ids are broadcast, so no text is shuffled but those of the sample.
+    first = docs.select(key, text).join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", "__text").limit(rows).select("__text", F.col("__label").cast("double").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, known, held = [], [], 0
