@@ -6,7 +6,7 @@ alone.  Of all units with one digest the earliest ranked, by document id and the
 together with the line feed that follows it (or, at the end of a text, precedes it).  What goes is recorded with its
 offsets in the original text.
 
-The shuffle carries a digest and two numbers per unit.  A digest's first place is a grouped minimum, combined before
+The shuffle carries a digest and three numbers per unit.  A digest's first place is a grouped minimum, combined before
 the shuffle; it is joined back to the units, where a digest that a third of all lines share is a skewed join side that
 adaptive execution splits.  The only lists built are those of one document's own removed spans.
 """
@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import cut
 from graphloom.llm.simhash import _LOWER
 
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n(?![ \t]*\n)[^\n]+)*")}
@@ -70,7 +71,7 @@ def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 5, id_c
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string"))
     found = rows.mapInArrow(run, "doc_id long, text_hash long, start int, stop int, digest binary")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.max(F.struct("doc_id", "text_hash", "start")).alias("last"))
-    again = first.where("first <> last").select("digest", "first")
+    again = cut(first.where("first <> last").select("digest", "first"))  # a table of its own, so that the join below can be split
     held = found.join(again, "digest").where("struct(doc_id, text_hash, start) <> first")
     return held.select("doc_id", "text_hash", "start", "stop", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
