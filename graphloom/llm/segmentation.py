@@ -36,7 +36,7 @@ Node = list[tuple[float, float, int, tuple[int, ...]]]  # edges: probability up
 
 
 class Vocabulary:
-    def __init__(self, path: str, shift: float = 2.7, exponent: float = 1.0, keep: int = 200_000):
+    def __init__(self, path: str, shift: float = 2.7, exponent: float = 1.0, keep: int = 30_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
