@@ -56,7 +56,7 @@ def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("row_key"), "text")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("row_key"), "text")
     model = tokenizer_file("piece_bpe_32k.model")
     sampled = segmentation.decode(segmentation.sample_segmentations(rows, model, k=3), model)
     return sampled.select(
