@@ -6,7 +6,7 @@ relation.  A model's provider is any function from windows to mentions with the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -42,17 +42,22 @@ def windows(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", F.posexplode(pairs).alias("win_idx", "text")).where("text <> ''")
 
 
-def window_entities(wins: DataFrame) -> DataFrame:
-    """``(doc_id, win_idx, name, etype, descr)``: each name once per window, in the order of the names."""
+def _description(width: int | None) -> Column:
+    return F.col("text") if width is None else F.substring("text", 1, width)
+
+
+def window_entities(wins: DataFrame, width: int | None = None) -> DataFrame:
+    """``(doc_id, win_idx, name, etype, descr)``: each name once per window, in the order of the names.  The description
+    is the window's text, or its first ``width`` characters."""
     names = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(1)), lambda x: F.lower(x))))
-    found = wins.select("doc_id", "win_idx", F.substring("text", 1, 40).alias("descr"), F.explode(names).alias("name"))
+    found = wins.select("doc_id", "win_idx", _description(width).alias("descr"), F.explode(names).alias("name"))
     return found.select("doc_id", "win_idx", "name", F.when(F.length("name") <= 5, "SHORT").otherwise("LONG").alias("etype"), "descr")
 
 
-def window_relations(wins: DataFrame) -> DataFrame:
+def window_relations(wins: DataFrame, width: int | None = None) -> DataFrame:
     """``(doc_id, win_idx, src, dst, rel, descr)`` for every two names of a window, made inside the window's own row."""
     names = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(1)), lambda x: F.lower(x))))
-    held = wins.select("doc_id", "win_idx", F.substring("text", 1, 40).alias("descr"), names.alias("names")).where("size(names) > 1")
+    held = wins.select("doc_id", "win_idx", _description(width).alias("descr"), names.alias("names")).where("size(names) > 1")
     first = held.select("*", F.posexplode("names").alias("i", "src"))
     pairs = first.select("*", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("dst"))
     return pairs.select("doc_id", "win_idx", "src", "dst", F.concat(F.lit("co_"), F.substring("src", 1, 1), F.substring("dst", 1, 1)).alias("rel"), "descr")

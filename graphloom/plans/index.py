@@ -18,20 +18,20 @@ class Graph:
     adjacency: DataFrame
 
 
-def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mentions(docs: DataFrame, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     wins = extract.windows(docs)
-    return extract.window_entities(wins), extract.window_relations(wins)
+    return extract.window_entities(wins, width), extract.window_relations(wins, width)
 
 
-def merged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    e, r = mentions(docs)
+def merged(docs: DataFrame, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    e, r = mentions(docs, width)
     entities = extract.merge_entities(e)
     return entities, extract.merge_relations(r, entities)
 
 
-def build(docs: DataFrame) -> Graph:
+def build(docs: DataFrame, width: int | None = None) -> Graph:
     """The graph of a corpus; its tables are materialised, since every search reads them."""
-    e, r = merged(docs)
+    e, r = merged(docs, width)
     entities = graph.cut(graph.global_entities(e))
     relations = graph.cut(graph.final_relations(graph.undirected_edges(r), entities))
     return Graph(entities, relations, graph.cut(graph.adjacency(relations)))

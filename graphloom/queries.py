@@ -16,6 +16,9 @@ from graphloom.plans import index
 from graphloom.plans import search as routes
 from graphloom.sources import datasets, graph_json
 
+#: The SQL of ``oracles`` takes so many characters of a window as its description; queries with SQL follow it.
+SQL_WIDTH = 40
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -44,23 +47,23 @@ def document_chunks(spark, d):
 
 
 def window_entities(spark, d):
-    return index.mentions(docs(spark, d))[0]
+    return index.mentions(docs(spark, d), SQL_WIDTH)[0]
 
 
 def window_relations(spark, d):
-    return index.mentions(docs(spark, d))[1]
+    return index.mentions(docs(spark, d), SQL_WIDTH)[1]
 
 
 def chunk_entity_merge(spark, d):
-    return index.merged(docs(spark, d))[0]
+    return index.merged(docs(spark, d), SQL_WIDTH)[0]
 
 
 def chunk_relation_merge(spark, d):
-    return index.merged(docs(spark, d))[1]
+    return index.merged(docs(spark, d), SQL_WIDTH)[1]
 
 
 def extraction_stats(spark, d):
-    return extract.extraction_stats(*index.mentions(docs(spark, d)))
+    return extract.extraction_stats(*index.mentions(docs(spark, d), SQL_WIDTH))
 
 
 def entity_canon(spark, d):
@@ -85,11 +88,11 @@ def parse_relation_blocks(spark, d):
 
 
 def global_entities(spark, d):
-    return graph.global_entities(index.merged(docs(spark, d))[0])
+    return graph.global_entities(index.merged(docs(spark, d), SQL_WIDTH)[0])
 
 
 def undirected_edges(spark, d):
-    return graph.undirected_edges(index.merged(docs(spark, d))[1])
+    return graph.undirected_edges(index.merged(docs(spark, d), SQL_WIDTH)[1])
 
 
 def star_edges(spark, d):
@@ -105,7 +108,7 @@ def edge_label_groups(spark, d):
 
 
 def final_relations(spark, d):
-    e, r = index.merged(docs(spark, d))
+    e, r = index.merged(docs(spark, d), SQL_WIDTH)
     return graph.final_relations(graph.undirected_edges(r), graph.global_entities(e))
 
 
@@ -319,7 +322,7 @@ def doc_build_2wiki(spark, d):
 
 
 def graph_json_roundtrip(spark, d):
-    g = built(spark, d)
+    g = index.build(docs(spark, d), SQL_WIDTH)
     said = graph_json.relation_rows(g.relations).select(F.to_json(F.struct("*")).alias("j"))
     read = said.select(F.from_json("j", graph_json.RELATION).alias("r")).select("r.*")
     return read.select("id", "label", "source_id", "target_id", "properties.relationship_description")
