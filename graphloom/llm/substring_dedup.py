@@ -2,7 +2,7 @@
 
 A unit is a line (or a paragraph: what blank lines separate).  Its digest is taken over a normal form: A-Z in lower
 case, runs of ASCII white space as one space, none at the ends.  Units of fewer than ``min_words`` words are left
-alone.  Of all units with one digest the earliest ranked, by document id and then position, stays; every other one goes,
+alone, unless ``min_chars`` is given and the normal form has so many characters (texts without spaces).  Of all units with one digest the earliest ranked, by document id and then position, stays; every other one goes,
 together with the line feed that follows it (or, at the end of a text, precedes it).  What goes is recorded with its
 offsets in the original text.
 
@@ -32,11 +32,11 @@ def normal_form(unit: str) -> bytes:
     return b" ".join(unit.encode("utf-8", "surrogatepass").translate(_LOWER).split())
 
 
-def units(text: str | None, unit: str = "line", min_words: int = 5) -> Iterator[tuple[int, int, bytes]]:
+def units(text: str | None, unit: str = "line", min_words: int = 5, min_chars: int | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(start, stop, 128-bit digest) of the units of a text that are long enough."""
     for m in UNITS[unit].finditer(text or ""):
         form = normal_form(m[0])
-        if form and form.count(b" ") + 1 >= min_words:
+        if form and (form.count(b" ") + 1 >= min_words or min_chars is not None and len(form.decode("utf-8", "surrogatepass")) >= min_chars):
             yield m.start(), m.end(), xxhash.xxh3_128_digest(form)
 
 
@@ -50,7 +50,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return out[:-1] if spans and max(stop for _, stop in spans) == len(text) and out.endswith("\n") else out
 
 
-def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None) -> DataFrame:
     """``(doc_id, text_hash, start, stop, kept_doc_id, kept_start)``: a row per unit that goes, offsets in code points.
 
     A document is an id with a text; where an id repeats with another text, the hash of the text ranks after the id.
@@ -60,7 +60,7 @@ def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 5, id_c
         for b in batches:
             rows, starts, stops, digests = [], [], [], []
             for row, text in enumerate(b.column(2).to_pylist()):
-                for start, stop, digest in units(text, unit, min_words):
+                for start, stop, digest in units(text, unit, min_words, min_chars):
                     rows.append(row)
                     starts.append(start)
                     stops.append(stop)
@@ -76,7 +76,7 @@ def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 5, id_c
     return held.select("doc_id", "text_hash", "start", "stop", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 
-def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None) -> DataFrame:
     """Every row of ``docs`` with its text deduplicated, and the column ``removed``: the spans that went, in order,
     as offsets (code points) in the original text, each with the place of the occurrence that stayed.
 
@@ -86,7 +86,7 @@ def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = 5, id_
     is replaced.
     """
     spans = (
-        repeated_spans(docs, unit, min_words, id_col, text_col)
+        repeated_spans(docs, unit, min_words, id_col, text_col, min_chars)
         .distinct()
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kept_doc_id", "kept_start"))).alias("removed"))
