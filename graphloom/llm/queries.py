@@ -91,24 +91,55 @@ QUERIES: dict[str, Query] = {
 }
 
 OP1_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, text, pos, line,
-         array_to_string(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda w: w <> ''), ' ') AS form
-  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
-), placed AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-         len(string_split(form, ' ')) >= 5 AS long_enough
-  FROM lines
+WITH lowered AS (
+  SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), listed AS (
+  SELECT doc_id, length(low) AS n_chars,
+         regexp_extract_all(low, '(?:[UNSPACED]|[^\x09-\x0D\x20UNSPACED]{1,16})[\x09-\x0D\x20]*') AS parts
+  FROM lowered
+), spread AS (
+  SELECT doc_id, n_chars, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS k FROM listed
+), words AS (
+  SELECT doc_id, k, length(part) AS size, regexp_replace(part, '[\x09-\x0D\x20]+$', '') AS word,
+         n_chars - sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS place,
+         contains(coalesce(lag(part) OVER (PARTITION BY doc_id ORDER BY k), chr(10)), chr(10)) AS line_starts
+  FROM spread
+), sums AS (
+  SELECT *, list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS every,
+         min(md5(word)[1:8] || lpad(k::VARCHAR, 10, '0')) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS least
+  FROM words
+), borders AS (
+  SELECT doc_id, k FROM words WHERE line_starts
+  UNION SELECT doc_id, least[9:]::BIGINT FROM sums WHERE k >= 14
+), ends AS (
+  SELECT doc_id, k, place AS stop FROM words JOIN borders USING (doc_id, k)
+  UNION ALL SELECT doc_id, max(k) + 1, max(n_chars) FROM spread GROUP BY doc_id
+), stretches AS (
+  SELECT a.doc_id, a.k, z.k AS past, z.stop FROM borders a ASOF JOIN ends z ON a.doc_id = z.doc_id AND a.k + 25 <= z.k
+), formed AS (
+  SELECT s.doc_id, w.place AS start, s.stop, array_to_string(w.every[s.k + 1 : s.past], ' ') AS form FROM stretches s JOIN sums w ON s.doc_id = w.doc_id AND s.k = w.k
 ), ranked AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS n
-  FROM placed WINDOW w AS (PARTITION BY CASE WHEN long_enough THEN form ELSE doc_id || ' ' || pos END, long_enough ORDER BY doc_id, pos)
+  FROM formed WINDOW w AS (PARTITION BY form ORDER BY doc_id, start)
+), flagged AS (
+  SELECT *, coalesce(lag(stop) OVER w >= start AND lag(kept_doc_id) OVER w = kept_doc_id, false) AS goes_on
+  FROM ranked WHERE n > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+), numbered AS (
+  SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS nth FROM flagged
+), pieces AS (
+  SELECT doc_id, nth, min(start) AS start, max(stop) AS stop, arg_min(kept_doc_id, start) AS kept_doc_id, arg_min(kept_start, start) AS kept_start FROM numbered GROUP BY doc_id, nth
+), spans AS (
+  SELECT doc_id, start, least(stop, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), stop)) AS stop, kept_doc_id, kept_start FROM pieces
+), removed AS (
+  SELECT doc_id, count(*) AS n, string_agg('{"start":' || start || ',"stop":' || stop || ',"kept_doc_id":' || kept_doc_id || ',"kept_start":' || kept_start || '}', ',' ORDER BY start) AS spans FROM spans GROUP BY doc_id
+), held AS (
+  SELECT d.doc_id, string_agg(substr(d.text, w.place::BIGINT + 1, w.size), '' ORDER BY w.k) FILTER (WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = w.doc_id AND s.start <= w.place AND w.place < s.stop)) AS text
+  FROM documents d JOIN words w USING (doc_id) GROUP BY d.doc_id
 )
-SELECT doc_id,
-       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n = 1 OR NOT long_enough), '') AS text,
-       CAST(count(*) FILTER (WHERE n > 1 AND long_enough) AS INTEGER) AS n_removed,
-       '[' || coalesce(string_agg('{"start":' || start || ',"stop":' || (start + length(line)) || ',"kept_doc_id":' || kept_doc_id || ',"kept_start":' || kept_start || '}', ',' ORDER BY pos) FILTER (WHERE n > 1 AND long_enough), '') || ']' AS removed_spans
-FROM ranked GROUP BY doc_id
-"""
+SELECT doc_id, regexp_extract(d.text, '^[\x09-\x0D\x20]*') || coalesce(h.text, '') AS text,
+       CAST(coalesce(r.n, 0) AS INTEGER) AS n_removed, '[' || coalesce(r.spans, '') || ']' AS removed_spans
+FROM documents d LEFT JOIN held h USING (doc_id) LEFT JOIN removed r USING (doc_id)
+""".replace("UNSPACED", r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}")
 
 OP4_SQL = r"""
 WITH rows AS (

@@ -42,3 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, CAPITALS, SMALL)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of the table has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name = f"_{name}"
+    return f"__{name}"

@@ -1,66 +1,129 @@
-"""Substring deduplication by line hashing.
-
-A unit is a line (or a paragraph: what blank lines separate).  Its digest is taken over a normal form: A-Z in lower
-case, runs of ASCII white space as one space, none at the ends.  Units of fewer than ``min_words`` words are left
-alone, unless ``min_chars`` is given and the normal form has so many characters (texts without spaces).  Of all units with one digest the earliest ranked, by document id and then position, stays; every other one goes,
-together with the line feed that follows it (or, at the end of a text, precedes it).  What goes is recorded with its
-offsets in the original text.
-
-The shuffle carries a digest and three numbers per unit.  A digest's first place is a grouped minimum, combined before
-the shuffle; it is joined back to the units, where a digest that a third of all lines share is a skewed join side that
-adaptive execution splits.  The only lists built are those of one document's own removed spans.
+"""Substring deduplication by hashing stretches of lines.
+
+A text's words are runs of other than ASCII white space, A-Z in lower case, of 16 characters at most; characters of
+scripts that are written without spaces are words of their own.  Passages that documents share seldom begin and end with
+a line, so lines are cut further where their content says: a unit begins with every line and with every word whose hash is
+the least of some ``spread`` neighbouring words (winnowing), which puts the same borders into a passage wherever it
+stands.  A stretch is the shortest run of units from a unit on that has ``min_words`` words; its digest is taken over its
+words joined by spaces.  With ``unit="line"`` units are whole lines, with ``unit="paragraph"`` what blank lines separate.
+
+Of all stretches with one digest the earliest ranked, by document id and then position, stays; every other one goes, from
+its first word to the next word that stays.  So the earliest occurrence of every unit stays, and what goes is recorded with
+its offsets in the original text.
+
+The shuffle carries a digest and four numbers per unit.  A digest's first place is a grouped minimum, combined before the
+shuffle; it is joined back to the stretches, where a digest that a third of all documents share is a skewed join side that
+adaptive execution splits.  The only lists built are those of one document's own stretches.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import cut
+from graphloom.llm.shared import cut, free_name
 from graphloom.llm.simhash import _LOWER
 
-UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n(?![ \t]*\n)[^\n]+)*")}
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, and ideographs.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"([{UNSPACED}]|[^\\x09-\\x0D\\x20{UNSPACED}]{{1,16}})")
+BORDERS = {"stretch": re.compile("\n"), "line": re.compile("\n"), "paragraph": re.compile("\n[ \t]*\n")}
 SPANS = "array<struct<start:int,stop:int,kept_doc_id:bigint,kept_start:int>>"
 
 
-def normal_form(unit: str) -> bytes:
-    return b" ".join(unit.encode("utf-8", "surrogatepass").translate(_LOWER).split())
-
-
-def units(text: str | None, unit: str = "line", min_words: int = 5, min_chars: int | None = None) -> Iterator[tuple[int, int, bytes]]:
-    """(start, stop, 128-bit digest) of the units of a text that are long enough."""
-    for m in UNITS[unit].finditer(text or ""):
-        form = normal_form(m[0])
-        if form and (form.count(b" ") + 1 >= min_words or min_chars is not None and len(form.decode("utf-8", "surrogatepass")) >= min_chars):
-            yield m.start(), m.end(), xxhash.xxh3_128_digest(form)
+class WordHashes(dict):
+    """The first 32 bits of a word's MD5; a table of bounded size."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+        return value
+
+
+HASHES = WordHashes()
+
+
+def winnowed(hashes: np.ndarray, spread: int) -> np.ndarray:
+    """The positions that have the least hash, the leftmost of several, of some ``spread`` neighbours."""
+    n = len(hashes)
+    if n < spread:
+        return np.empty(0, np.int64)
+    least, width = hashes << np.uint64(32) | np.arange(n, dtype=np.uint64), 1
+    while width < spread:
+        step = min(width, spread - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    return np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def stretches(text: str | None, unit: str = "stretch", min_words: int = 25, spread: int = 15) -> Iterator[tuple[int, int, bytes]]:
+    """(start, stop, 128-bit digest) of a text's stretches; one stops where the word after it starts."""
+    parts = WORD.split((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass"))
+    words, gaps = parts[1::2], parts[2::2]
+    n = len(words)
+    if n < min_words:
+        return
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    places = len(parts[0]) + np.concatenate([[0], np.cumsum(sizes + np.fromiter(map(len, gaps), np.int64, n))])
+    first = [0] + [k + 1 for k, gap in enumerate(gaps[:-1]) if len(gap) and BORDERS[unit].search(gap)]
+    if unit == "stretch":
+        first = np.union1d(first, winnowed(np.fromiter(map(HASHES.__getitem__, words), np.uint64, n), spread))
+    borders = np.append(first, n).astype(np.int64)
+    ends = np.searchsorted(borders, borders[:-1] + min_words)
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    form = b" ".join(raw)
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, n) + 1)])
+    for a, e in zip(borders.tolist(), ends.tolist()):
+        if e == len(borders):
+            return
+        z = int(borders[e])
+        yield int(places[a]), int(places[z]), xxhash.xxh3_128_digest(form[at[a] : at[z] - 1])
+
+
+def merged(repeats: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, stop, kept_doc_id, kept_start) of stretches -> disjoint spans: overlapping stretches that stay in one document
+    are a span, with the place where its beginning stays; a span stops where the next one starts."""
+    out: list[tuple[int, int, int, int]] = []
+    for start, stop, kept, at in sorted(repeats):
+        if out and start <= out[-1][1]:
+            before = out.pop()
+            stop = max(stop, before[1])
+            if kept == before[2]:
+                start, at = before[0], before[3]
+            else:
+                out.append((before[0], start, *before[2:]))
+        out.append((start, stop, kept, at))
+    return out
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without those of its spans, and without one line feed beside each."""
+    """The text without some disjoint spans of it."""
     parts, at = [], 0
     for start, stop in sorted(spans):
         parts.append(text[at:start])
-        at = stop + 1 if text[stop : stop + 1] == "\n" else stop
-    out = "".join(parts) + text[at:]
-    return out[:-1] if spans and max(stop for _, stop in spans) == len(text) and out.endswith("\n") else out
+        at = stop
+    return "".join(parts) + text[at:]
 
 
-def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None) -> DataFrame:
-    """``(doc_id, text_hash, start, stop, kept_doc_id, kept_start)``: a row per unit that goes, offsets in code points.
+def repeated_stretches(docs: DataFrame, unit: str = "stretch", min_words: int = 25, spread: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, start, stop, kept_doc_id, kept_start)``: a row per stretch that goes, offsets in code points.
 
     A document is an id with a text; where an id repeats with another text, the hash of the text ranks after the id.
+    Rows with a null id or text give none, nor does an empty table; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, starts, stops, digests = [], [], [], []
             for row, text in enumerate(b.column(2).to_pylist()):
-                for start, stop, digest in units(text, unit, min_words, min_chars):
+                for start, stop, digest in stretches(text, unit, min_words, spread):
                     rows.append(row)
                     starts.append(start)
                     stops.append(stop)
@@ -70,44 +133,52 @@ def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 5, id_c
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string"))
     found = rows.mapInArrow(run, "doc_id long, text_hash long, start int, stop int, digest binary")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.max(F.struct("doc_id", "text_hash", "start")).alias("last"))
-    again = cut(first.where("first <> last").select("digest", "first"))  # a table of its own, so that the join below can be split
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.count("*").alias("n"))
+    again = cut(first.where("n > 1").select("digest", "first"))  # a table of its own, so that the join below can be split
     held = found.join(again, "digest").where("struct(doc_id, text_hash, start) <> first")
     return held.select("doc_id", "text_hash", "start", "stop", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 
-def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, unit: str = "stretch", min_words: int = 25, spread: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its text deduplicated, and the column ``removed``: the spans that went, in order,
-    as offsets (code points) in the original text, each with the place of the occurrence that stayed.
+    as offsets (code points) in the original text, each with the place where its beginning stays.
 
-    A null or empty text, and one without a repeated unit, stays as it is with an empty list.  A text that consists of
-    repeated units becomes empty; its row stays.  Rows with a null id take no part.  Rows that repeat an id and a text
-    are one document: all lose the same spans, so a first occurrence is never lost.  An input column named ``removed``
-    is replaced.
+    A null or empty text, and one without a repeated stretch, stays as it is with an empty list.  A text that consists of
+    repeated stretches becomes empty, or the white space before its first word; its row stays.  Rows with a null id take no
+    part.  Rows that repeat an id and a text are one document: all lose the same spans, so a first occurrence is never lost.
+    A very long text is one row's work, in arrays over its words.  An input column named ``removed`` is replaced; no other
+    name of the input clashes.
     """
+    docs = docs.drop("removed")
+    own_id, own_hash = free_name(docs, "id"), free_name(docs, "hash")
     spans = (
-        repeated_spans(docs, unit, min_words, id_col, text_col, min_chars)
+        repeated_stretches(docs, unit, min_words, spread, id_col, text_col)
         .distinct()
         .groupBy("doc_id", "text_hash")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kept_doc_id", "kept_start"))).alias("removed"))
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "removed")
+        .agg(F.collect_list(F.struct("start", "stop", "kept_doc_id", "kept_start")).alias("removed"))
+        .select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), "removed")
     )
-    docs = docs.drop("removed")
-    own = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
-    joined = docs.join(spans, own, "left").drop("__id", "__hash").withColumn("removed", F.coalesce("removed", F.array().cast(SPANS)))
+    own = (F.col(id_col).cast("long") == F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
+    joined = docs.join(spans, own, "left").drop(own_id, own_hash).withColumn("removed", F.coalesce("removed", F.array().cast(SPANS)))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(b.num_columns - 1)
             flat, lengths = lists.flatten(), lists.value_lengths().to_pylist()
-            starts, stops = flat.field("start").to_pylist(), flat.field("stop").to_pylist()
-            columns, texts, at = b.columns, b.column(place).to_pylist(), 0
+            fields = [flat.field(k).to_pylist() for k in range(4)]
+            columns, texts, at, spans = b.columns, b.column(place).to_pylist(), 0, []
             for row, n in enumerate(lengths):
+                own = merged(list(zip(*(f[at : at + n] for f in fields))))
+                spans.append(own)
+                at += n
                 if n:
-                    texts[row] = without(texts[row], list(zip(starts[at : at + n], stops[at : at + n])))
-                    at += n
+                    texts[row] = without(texts[row], [s[:2] for s in own])
             columns[place] = pa.array(texts, b.column(place).type)
+            every = [s for own in spans for s in own]
+            values = pa.StructArray.from_arrays([pa.array([s[k] for s in every], lists.type.value_type.field(k).type) for k in range(4)], fields=list(lists.type.value_type))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(own) for own in spans])]), pa.int32())
+            columns[-1] = pa.ListArray.from_arrays(offsets, values, type=lists.type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
     return joined.mapInArrow(run, joined.schema)

@@ -1,5 +1,6 @@
 """SimHash, components and line deduplication against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -99,47 +100,117 @@ def test_near_duplicates_of_odd_rows(spark):
 LINE, OTHER = "one line that is long enough", "another line that is long enough"
 
 
-def brute_force(rows, min_words=5):
-    """Documents by id; the first place of each line stays."""
-    seen, out = set(), {}
+def plain_words(text):
+    """(start, word, whether a line starts with it), a character at a time."""
+    out, fresh = [], True
+    for i, c in enumerate(text):
+        unspaced = any(a <= ord(c) <= b for a, b in ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
+        if c in " \t\n\x0b\x0c\r":
+            fresh = fresh or c == "\n"
+            joins = False
+        elif out and joins and not unspaced and len(out[-1][1]) < 16:
+            out[-1][1] += c.lower() if "A" <= c <= "Z" else c
+        else:
+            out.append([i, c.lower() if "A" <= c <= "Z" else c, fresh])
+            joins, fresh = not unspaced, False
+    return out
+
+
+def plain_stretches(text, unit, min_words, spread):
+    words = plain_words(text)
+    borders = {k for k, w in enumerate(words) if w[2]}
+    if unit == "stretch":
+        h = [hashlib.md5(w[1].encode()).hexdigest()[:8] for w in words]
+        borders |= {min(range(k, k + spread), key=lambda p: (h[p], p)) for k in range(len(h) - spread + 1)}
+    ends = sorted(borders | {len(words)})
+    for a in sorted(borders):
+        z = next((z for z in ends if z >= a + min_words), None)
+        if z is not None:
+            yield words[a][0], words[z][0] if z < len(words) else len(text), " ".join(w[1] for w in words[a:z])
+
+
+def brute_force(rows, unit="stretch", min_words=25, spread=15):
+    """Texts by document; of equal stretches the first place stays, every character of the others goes."""
+    seen, out = {}, {}
     for i, text in sorted(rows):
-        kept = []
-        for line in text.split("\n"):
-            form = " ".join(re.sub(r"[\x09-\x0D\x20]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in line)).split(" ")).strip(" ")
-            if len(form.split(" ")) < min_words or form not in seen:
-                kept.append(line)
-            if len(form.split(" ")) >= min_words:
-                seen.add(form)
-        out[i] = "\n".join(kept)
+        gone = set()
+        for start, stop, form in plain_stretches(text, unit, min_words, spread):
+            if seen.setdefault(form, (i, start)) != (i, start):
+                gone.update(range(start, stop))
+        out[i] = "".join(c for k, c in enumerate(text) if k not in gone)
     return out
 
 
-def test_lines_against_brute_force(spark):
+def spliced(r, n=60):
+    """Texts of random words and lines with passages of 50 words and more, put in at any word."""
+    say = lambda k: " ".join(r.choice(["the", "Of", "a"]) if r.random() < 0.3 else "".join(r.choices("abcdeXYZé", k=r.randrange(1, 9))) + r.choice(["", "", "", ",", ".", ".\n"]) for _ in range(k))
+    passages = [say(k) for k in (50, 55, 80, 130)]
+    rows = []
+    for i in range(n):
+        parts = [say(r.randrange(2, 90)) for _ in range(3)]
+        if i % 2:
+            parts.insert(r.randrange(4), passages[i // 2 % 4])
+        rows.append((i, " ".join(parts)))
+    return rows, passages
+
+
+@pytest.mark.parametrize("unit, min_words, spread", [("stretch", 25, 15), ("stretch", 8, 4), ("line", 5, 15)])
+def test_stretches_against_brute_force(spark, unit, min_words, spread):
     r = random.Random(1)
-    lines = [" ".join(r.choice(["a", "B", "c", "É"]) for _ in range(n)) for n in (4, 5, 5, 6, 7)] + ["", " ", "  a b  C\td e "]
-    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9)))) for i in range(80)]
-    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    lines = [" ".join(r.choice(["a", "B", "c", "É"]) for _ in range(n)) for n in (4, 5, 5, 6, 7)] + ["", " ", "  a b  C\td e ", "日本語の長い行です", "x" * 70]
+    rows = spliced(r)[0] + [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9)))) for i in range(100, 160)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit, min_words, spread)
     originals = dict(rows)
     found = got.collect()
-    assert {x["doc_id"]: x["text"] for x in found} == brute_force(rows)
+    assert {x["doc_id"]: x["text"] for x in found} == brute_force(rows, unit, min_words, spread)
+    assert sum(len(x["removed"]) for x in found) > 20
     for x in found:
         assert substring_dedup.without(originals[x["doc_id"]], [(s["start"], s["stop"]) for s in x["removed"]]) == x["text"]
-        for s in x["removed"]:
-            kept = originals[s["kept_doc_id"]][s["kept_start"] :].split("\n")[0]
-            assert substring_dedup.normal_form(kept) == substring_dedup.normal_form(originals[x["doc_id"]][s["start"] : s["stop"]])
+        for s in x["removed"]:  # what went begins, word for word, like what stays where the span says
+            went = [w[1] for w in plain_words(originals[x["doc_id"]][s["start"] : s["stop"]])][:min_words]
+            assert [w[1] for w in plain_words(originals[s["kept_doc_id"]][s["kept_start"] :])][: len(went)] == went
+
+
+def test_spliced_passages_go(spark):
+    rows, passages = spliced(random.Random(4))
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(len(p.split()) >= 50 for p in passages)
+    first = {passages[i // 2 % 4]: i for i in range(59, 0, -2)}
+    for x in got:
+        carries = x["doc_id"] % 2 and x["doc_id"] not in first.values()
+        assert bool(x["removed"]) == bool(carries)
+        if carries:
+            assert not any(p in x["text"] for p in passages)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, "new " + " ".join(words[200_000:200_060]) + " end"), (3, "x" * 1_000_000)]
+    got = {x["doc_id"]: (x["text"], len(x["removed"])) for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2][1] == 1 and len(got[2][0]) < 200
+    assert got[3][1] == 1 and len(got[3][0]) < 17  # of a run of one letter the first 16 stay
 
 
 def test_lines_of_odd_rows(spark):
     rows = [(1, None, "en", "x"), (2, "", "en", "x"), (3, LINE, "en", "x"), (3, LINE, "en", "x"), (4, f"{LINE}\n{OTHER}\n{LINE.upper()}", None, "x"), (None, LINE, "en", "x"), (3, f"{OTHER}\nx", "de", "x")]
-    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS))
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS), "line", 5)
     assert got.columns == ["doc_id", "text", "lang", "removed"]
     assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted([(1, None), (2, ""), (3, LINE), (3, LINE), (4, ""), (None, LINE), (3, f"{OTHER}\nx")], key=str)
     assert substring_dedup.substring_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_clashing_names(spark):
+    names = ["__id", "__hash", "digest", "first", "n", "text_hash", "start"]
+    docs = spark.createDataFrame([(1, LINE, *names), (2, LINE, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = substring_dedup.substring_dedup(docs, "line", 5)
+    assert got.columns == [*docs.columns, "removed"]
+    assert sorted((x["doc_id"], x["text"], x["__id"], x["start"]) for x in got.collect()) == [(1, LINE, "__id", "start"), (2, "", "__id", "start")]
+
+
 def test_paragraphs():
     text = "one two three\nfour five six\n\nseven eight nine ten eleven\n"
-    assert [text[a:b] for a, b, _ in substring_dedup.units(text, "paragraph")] == ["one two three\nfour five six", "seven eight nine ten eleven"]
+    assert [text[a:b] for a, b, _ in substring_dedup.stretches(text, "paragraph", 5)] == ["one two three\nfour five six\n\n", "seven eight nine ten eleven\n"]
 
 
 def test_cut_keeps_rows(spark):
