@@ -106,28 +106,32 @@ WITH lowered AS (
   FROM spread
 ), sums AS (
   SELECT *, list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS every,
-         min(md5(word)[1:8] || lpad(k::VARCHAR, 10, '0')) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS least
-  FROM words
+         min(CASE WHEN again > 14 THEN hash || lpad(k::VARCHAR, 10, '0') END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS least
+  FROM (SELECT *, coalesce(k - lag(k) OVER (PARTITION BY doc_id, hash ORDER BY k), 15) AS again FROM (SELECT *, md5(word)[1:8] AS hash FROM words))
 ), borders AS (
   SELECT doc_id, k FROM words WHERE line_starts
-  UNION SELECT doc_id, least[9:]::BIGINT FROM sums WHERE k >= 14
+  UNION SELECT doc_id, least[9:]::BIGINT FROM sums WHERE k >= 14 AND least IS NOT NULL
 ), ends AS (
   SELECT doc_id, k, place AS stop FROM words JOIN borders USING (doc_id, k)
   UNION ALL SELECT doc_id, max(k) + 1, max(n_chars) FROM spread GROUP BY doc_id
+), line_ends AS (
+  SELECT *, lag(past) OVER (PARTITION BY doc_id ORDER BY past) AS line
+  FROM (SELECT doc_id, k AS past, place AS stop FROM words WHERE line_starts UNION ALL SELECT doc_id, max(k) + 1, max(n_chars) FROM spread GROUP BY doc_id)
 ), stretches AS (
-  SELECT a.doc_id, a.k, z.k AS past, z.stop FROM borders a ASOF JOIN ends z ON a.doc_id = z.doc_id AND a.k + 25 <= z.k
+  SELECT a.doc_id, a.k, z.k AS past, z.stop FROM borders a ASOF JOIN ends z ON a.doc_id = z.doc_id AND a.k + 20 <= z.k
+  UNION SELECT l.doc_id, a.k, l.past, l.stop FROM line_ends l ASOF JOIN borders a ON l.doc_id = a.doc_id AND l.past - 20 >= a.k WHERE a.k >= l.line
 ), formed AS (
   SELECT s.doc_id, w.place AS start, s.stop, array_to_string(w.every[s.k + 1 : s.past], ' ') AS form FROM stretches s JOIN sums w ON s.doc_id = w.doc_id AND s.k = w.k
 ), ranked AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS n
   FROM formed WINDOW w AS (PARTITION BY form ORDER BY doc_id, start)
 ), flagged AS (
-  SELECT *, coalesce(lag(stop) OVER w >= start AND lag(kept_doc_id) OVER w = kept_doc_id, false) AS goes_on
-  FROM ranked WHERE n > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+  SELECT *, coalesce(lag(stop) OVER w >= start AND (lag(kept_doc_id) OVER w = kept_doc_id OR lag(start) OVER w = start), false) AS goes_on
+  FROM ranked WHERE n > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop)
 ), numbered AS (
-  SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS nth FROM flagged
+  SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS nth FROM flagged
 ), pieces AS (
-  SELECT doc_id, nth, min(start) AS start, max(stop) AS stop, arg_min(kept_doc_id, start) AS kept_doc_id, arg_min(kept_start, start) AS kept_start FROM numbered GROUP BY doc_id, nth
+  SELECT doc_id, nth, min(start) AS start, max(stop) AS stop, arg_min(kept_doc_id, {'a': start, 'b': stop}) AS kept_doc_id, arg_min(kept_start, {'a': start, 'b': stop}) AS kept_start FROM numbered GROUP BY doc_id, nth
 ), spans AS (
   SELECT doc_id, start, least(stop, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), stop)) AS stop, kept_doc_id, kept_start FROM pieces
 ), removed AS (

@@ -4,8 +4,10 @@ A text's words are runs of other than ASCII white space, A-Z in lower case, of 1
 scripts that are written without spaces are words of their own.  Passages that documents share seldom begin and end with
 a line, so lines are cut further where their content says: a unit begins with every line and with every word whose hash is
 the least of some ``spread`` neighbouring words (winnowing), which puts the same borders into a passage wherever it
-stands.  A stretch is the shortest run of units from a unit on that has ``min_words`` words; its digest is taken over its
-words joined by spaces.  With ``unit="line"`` units are whole lines, with ``unit="paragraph"`` what blank lines separate.
+stands.  A word that one of the ``spread - 1`` words before it equals doesn't count there, so words said over and over
+aren't cut.  A stretch is the shortest run of units from a unit on that has ``min_words`` words, and the shortest inside a
+line up to its end, so that whole lines go too; its digest is taken over its words joined by spaces.  With ``unit="line"`` units are whole lines, with ``unit="paragraph"`` what blank lines
+separate.
 
 Of all stretches with one digest the earliest ranked, by document id and then position, stays; every other one goes, from
 its first word to the next word that stays.  So the earliest occurrence of every unit stays, and what goes is recorded with
@@ -39,12 +41,13 @@ SPANS = "array<struct<start:int,stop:int,kept_doc_id:bigint,kept_start:int>>"
 
 
 class WordHashes(dict):
-    """The first 32 bits of a word's MD5; a table of bounded size."""
+    """The first 32 bits of a word's MD5, and above them its length in bytes; a table of bounded size."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        value = self[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+        raw = word.encode("utf-8", "surrogatepass")
+        value = self[word] = int.from_bytes(hashlib.md5(raw).digest()[:4], "big") | len(raw) << 32
         return value
 
 
@@ -52,54 +55,68 @@ HASHES = WordHashes()
 
 
 def winnowed(hashes: np.ndarray, spread: int) -> np.ndarray:
-    """The positions that have the least hash, the leftmost of several, of some ``spread`` neighbours."""
+    """The positions that have the least hash, the leftmost of several, of some ``spread`` neighbours, where a hash that
+    repeats one of the ``spread - 1`` before it doesn't count."""
     n = len(hashes)
     if n < spread:
         return np.empty(0, np.int64)
-    least, width = hashes << np.uint64(32) | np.arange(n, dtype=np.uint64), 1
+    stale = np.zeros(n, bool)
+    for k in range(1, spread):
+        stale[k:] |= hashes[k:] == hashes[:-k]
+    none = np.uint64(2**64 - 1)
+    least, width = np.where(stale, none, hashes << np.uint64(32) | np.arange(n, dtype=np.uint64)), 1
     while width < spread:
         step = min(width, spread - width)
         least, width = np.minimum(least[:-step], least[step:]), width + step
-    return np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return np.unique(least[least < none] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def stretches(text: str | None, unit: str = "stretch", min_words: int = 25, spread: int = 15) -> Iterator[tuple[int, int, bytes]]:
-    """(start, stop, 128-bit digest) of a text's stretches; one stops where the word after it starts."""
+def stretches(text: str | None, unit: str = "stretch", min_words: int = 20, spread: int = 15) -> tuple[list[int], list[int], list[bytes]]:
+    """Starts, stops and 96-bit digests of a text's stretches; one stops where the word after it starts."""
     parts = WORD.split((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass"))
     words, gaps = parts[1::2], parts[2::2]
     n = len(words)
     if n < min_words:
-        return
-    sizes = np.fromiter(map(len, words), np.int64, n)
-    places = len(parts[0]) + np.concatenate([[0], np.cumsum(sizes + np.fromiter(map(len, gaps), np.int64, n))])
-    first = [0] + [k + 1 for k, gap in enumerate(gaps[:-1]) if len(gap) and BORDERS[unit].search(gap)]
+        return [], [], []
+    border = BORDERS[unit]
+    kinds = {gap: len(gap) << 1 | bool(border.search(gap)) for gap in set(gaps)}
+    after = np.fromiter(map(kinds.__getitem__, gaps), np.int64, n)
+    places = len(parts[0]) + np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + (after >> 1))])
+    known = np.fromiter(map(HASHES.__getitem__, words), np.int64, n)
+    at = np.concatenate([[0], np.cumsum((known >> 32) + 1)])
+    begins = np.zeros(n + 1, bool)
+    begins[0] = begins[n] = True
+    begins[1:n] = after[:-1] & 1
     if unit == "stretch":
-        first = np.union1d(first, winnowed(np.fromiter(map(HASHES.__getitem__, words), np.uint64, n), spread))
-    borders = np.append(first, n).astype(np.int64)
+        begins[winnowed((known & 0xFFFFFFFF).astype(np.uint64), spread)] = True
+    borders = np.nonzero(begins)[0]
     ends = np.searchsorted(borders, borders[:-1] + min_words)
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    form = b" ".join(raw)
-    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, n) + 1)])
-    for a, e in zip(borders.tolist(), ends.tolist()):
-        if e == len(borders):
-            return
-        z = int(borders[e])
-        yield int(places[a]), int(places[z]), xxhash.xxh3_128_digest(form[at[a] : at[z] - 1])
+    onward = np.stack([borders[:-1][ends < len(borders)], borders[ends[ends < len(borders)]]], 1)
+    lines = np.concatenate([[0], np.nonzero(after[:-1] & 1)[0] + 1, [n]])
+    long = np.diff(lines) >= min_words
+    upto = lines[1:][long]
+    back = np.stack([borders[np.searchsorted(borders, upto - min_words, side="right") - 1], upto], 1)
+    first, past = np.unique(np.concatenate([onward, back]), axis=0).T
+    form = " ".join(words).encode("utf-8", "surrogatepass")
+    digests = [xxhash.xxh3_128_digest(form[a:z])[:12] for a, z in zip(at[first].tolist(), (at[past] - 1).tolist())]
+    return places[first].tolist(), places[past].tolist(), digests
 
 
 def merged(repeats: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, stop, kept_doc_id, kept_start) of stretches -> disjoint spans: overlapping stretches that stay in one document
     are a span, with the place where its beginning stays; a span stops where the next one starts."""
     out: list[tuple[int, int, int, int]] = []
+    last = (-1, -1)  # start and keeper of the stretch before
     for start, stop, kept, at in sorted(repeats):
         if out and start <= out[-1][1]:
-            before = out.pop()
-            stop = max(stop, before[1])
-            if kept == before[2]:
-                start, at = before[0], before[3]
+            first, end, *place = out.pop()
+            if start == last[0] or kept == last[1]:
+                out.append((first, max(stop, end), *place))
             else:
-                out.append((before[0], start, *before[2:]))
-        out.append((start, stop, kept, at))
+                out += [(first, start, *place), (start, max(stop, end), kept, at)]
+        else:
+            out.append((start, stop, kept, at))
+        last = (start, kept)
     return out
 
 
@@ -112,7 +129,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(parts) + text[at:]
 
 
-def repeated_stretches(docs: DataFrame, unit: str = "stretch", min_words: int = 25, spread: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_stretches(docs: DataFrame, unit: str = "stretch", min_words: int = 20, spread: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_hash, start, stop, kept_doc_id, kept_start)``: a row per stretch that goes, offsets in code points.
 
     A document is an id with a text; where an id repeats with another text, the hash of the text ranks after the id.
@@ -123,11 +140,11 @@ def repeated_stretches(docs: DataFrame, unit: str = "stretch", min_words: int =
         for b in batches:
             rows, starts, stops, digests = [], [], [], []
             for row, text in enumerate(b.column(2).to_pylist()):
-                for start, stop, digest in stretches(text, unit, min_words, spread):
-                    rows.append(row)
-                    starts.append(start)
-                    stops.append(stop)
-                    digests.append(digest)
+                own = stretches(text, unit, min_words, spread)
+                rows += [row] * len(own[0])
+                starts += own[0]
+                stops += own[1]
+                digests += own[2]
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "text_hash", "start", "stop", "digest"])
 
@@ -139,7 +156,7 @@ def repeated_stretches(docs: DataFrame, unit: str = "stretch", min_words: int =
     return held.select("doc_id", "text_hash", "start", "stop", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 
-def substring_dedup(docs: DataFrame, unit: str = "stretch", min_words: int = 25, spread: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, unit: str = "stretch", min_words: int = 20, spread: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its text deduplicated, and the column ``removed``: the spans that went, in order,
     as offsets (code points) in the original text, each with the place where its beginning stays.
 
