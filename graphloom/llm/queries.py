@@ -104,13 +104,16 @@ WITH lowered AS (
          n_chars - sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS place,
          contains(coalesce(lag(part) OVER (PARTITION BY doc_id ORDER BY k), chr(10)), chr(10)) AS line_starts
   FROM spread
+), hashes AS (
+  SELECT word, lpad((list_reduce(list_transform(range(1, length(word) + 1), lambda i: unicode(substr(word, i, 1))::HUGEINT), lambda a, x: (a * 2685821657736338717 + x) % 18446744073709551616) * 1983613069789375825 % 18446744073709551616 // 4294967296)::VARCHAR, 10, '0') AS hash
+  FROM (SELECT DISTINCT word FROM words)
 ), sums AS (
   SELECT *, list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS every,
          min(CASE WHEN again > 14 THEN hash || lpad(k::VARCHAR, 10, '0') END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS least
-  FROM (SELECT *, coalesce(k - lag(k) OVER (PARTITION BY doc_id, hash ORDER BY k), 15) AS again FROM (SELECT *, md5(word)[1:8] AS hash FROM words))
+  FROM (SELECT *, coalesce(k - lag(k) OVER (PARTITION BY doc_id, hash ORDER BY k), 15) AS again FROM words JOIN hashes USING (word))
 ), borders AS (
   SELECT doc_id, k FROM words WHERE line_starts
-  UNION SELECT doc_id, least[9:]::BIGINT FROM sums WHERE k >= 14 AND least IS NOT NULL
+  UNION SELECT doc_id, least[11:]::BIGINT FROM sums WHERE k >= 14 AND least IS NOT NULL
 ), ends AS (
   SELECT doc_id, k, place AS stop FROM words JOIN borders USING (doc_id, k)
   UNION ALL SELECT doc_id, max(k) + 1, max(n_chars) FROM spread GROUP BY doc_id

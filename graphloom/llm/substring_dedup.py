@@ -7,7 +7,7 @@ the least of some ``spread`` neighbouring words (winnowing), which puts the same
 stands.  A word that one of the ``spread - 1`` words before it equals doesn't count there, so words said over and over
 aren't cut.  A stretch is the shortest run of units from a unit on that has ``min_words`` words, and the shortest inside a
 line up to its end, so that whole lines go too; its digest is taken over its words joined by spaces.  With ``unit="line"`` units are whole lines, with ``unit="paragraph"`` what blank lines
-separate.
+separate.  All of that is arithmetic on arrays of a text's code points.
 
 Of all stretches with one digest the earliest ranked, by document id and then position, stays; every other one goes, from
 its first word to the next word that stays.  So the earliest occurrence of every unit stays, and what goes is recorded with
@@ -15,43 +15,70 @@ its offsets in the original text.
 
 The shuffle carries a digest and four numbers per unit.  A digest's first place is a grouped minimum, combined before the
 shuffle; it is joined back to the stretches, where a digest that a third of all documents share is a skewed join side that
-adaptive execution splits.  The only lists built are those of one document's own stretches.
+adaptive execution splits.  The only lists built are those of one document's own stretches.  Texts are shuffled only to
+documents that lose something: a bitmap of ``BITS`` bits, which is all that is broadcast, lets the others pass by.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import cut, free_name
-from graphloom.llm.simhash import _LOWER
 
-#: Thai, Lao, Tibetan, Burmese, Khmer, kana, and ideographs.
-UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-WORD = re.compile(f"([{UNSPACED}]|[^\\x09-\\x0D\\x20{UNSPACED}]{{1,16}})")
-BORDERS = {"stretch": re.compile("\n"), "line": re.compile("\n"), "paragraph": re.compile("\n[ \t]*\n")}
 SPANS = "array<struct<start:int,stop:int,kept_doc_id:bigint,kept_start:int>>"
-
-
-class WordHashes(dict):
-    """The first 32 bits of a word's MD5, and above them its length in bytes; a table of bounded size."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        raw = word.encode("utf-8", "surrogatepass")
-        value = self[word] = int.from_bytes(hashlib.md5(raw).digest()[:4], "big") | len(raw) << 32
-        return value
-
-
-HASHES = WordHashes()
+UNITS = ("stretch", "line", "paragraph")
+#: First and last characters of scripts without spaces (Thai, Lao, Tibetan; Burmese; Khmer; kana; ideographs).
+UNSPACED = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+LONGEST = 16  # characters of a word
+BITS = 1 << 24
+#: A word's hash is the polynomial of its code points at BASE, times MIX, modulo 2^64: the upper half.
+BASE, MIX = 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51
+
+
+class Powers:
+    """Powers of BASE and of its inverse modulo 2^64, as many as the longest text so far needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64))) for b in (BASE, pow(BASE, -1, 2**64)))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The code points with A-Z in lower case, which of them are white space, and where each word begins and ends."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where((code >= 65) & (code <= 90), code + 32, code).astype(np.uint32)
+    blank = (code == 32) | (code - np.uint32(9) < 5)
+    n = len(code)
+    breaks = np.ones(n + 1, bool)  # before each character: whether a word can't go on
+    breaks[1:n] = blank[1:] != blank[:-1]
+    if n and code.max() >= UNSPACED[0][0]:
+        alone = np.zeros(n, bool)
+        for low, high in UNSPACED:
+            alone |= (code >= low) & (code <= high)
+        breaks[:n] |= alone
+        breaks[1:] |= alone
+    run = np.nonzero(breaks)[0]
+    long = np.diff(run) > LONGEST
+    if long.any():
+        more = [np.arange(a + LONGEST, z, LONGEST) for a, z in zip(run[:-1][long], run[1:][long])]
+        run = np.sort(np.concatenate([run, *more]))
+    first, past = run[:-1], run[1:]
+    said = ~blank[first]
+    return code, blank, first[said], past[said]
 
 
 def winnowed(hashes: np.ndarray, spread: int) -> np.ndarray:
@@ -73,33 +100,39 @@ def winnowed(hashes: np.ndarray, spread: int) -> np.ndarray:
 
 def stretches(text: str | None, unit: str = "stretch", min_words: int = 20, spread: int = 15) -> tuple[list[int], list[int], list[bytes]]:
     """Starts, stops and 96-bit digests of a text's stretches; one stops where the word after it starts."""
-    parts = WORD.split((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass"))
-    words, gaps = parts[1::2], parts[2::2]
-    n = len(words)
+    if unit not in UNITS:
+        raise ValueError(f"no unit {unit!r}")
+    code, blank, first, past = words(text or "")
+    n = len(first)
     if n < min_words:
         return [], [], []
-    border = BORDERS[unit]
-    kinds = {gap: len(gap) << 1 | bool(border.search(gap)) for gap in set(gaps)}
-    after = np.fromiter(map(kinds.__getitem__, gaps), np.int64, n)
-    places = len(parts[0]) + np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + (after >> 1))])
-    known = np.fromiter(map(HASHES.__getitem__, words), np.int64, n)
-    at = np.concatenate([[0], np.cumsum((known >> 32) + 1)])
+    # How many line feeds come before each word tells which ones begin a line.
+    feeds = np.concatenate([[0], np.cumsum(code == 10)])
+    gap = feeds[first[1:]] - feeds[past[:-1]]
+    line = np.concatenate([[0], np.nonzero(gap > (unit == "paragraph"))[0] + 1, [n]])
     begins = np.zeros(n + 1, bool)
-    begins[0] = begins[n] = True
-    begins[1:n] = after[:-1] & 1
+    begins[line] = True
     if unit == "stretch":
-        begins[winnowed((known & 0xFFFFFFFF).astype(np.uint64), spread)] = True
+        up, down = POWERS.to(len(code))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * down)])
+        hashes = (sums[past] - sums[first]) * up[past - 1] * np.uint64(MIX) >> np.uint64(32)
+        begins[winnowed(hashes, spread)] = True
     borders = np.nonzero(begins)[0]
     ends = np.searchsorted(borders, borders[:-1] + min_words)
     onward = np.stack([borders[:-1][ends < len(borders)], borders[ends[ends < len(borders)]]], 1)
-    lines = np.concatenate([[0], np.nonzero(after[:-1] & 1)[0] + 1, [n]])
-    long = np.diff(lines) >= min_words
-    upto = lines[1:][long]
+    upto = line[1:][np.diff(line) >= min_words]
     back = np.stack([borders[np.searchsorted(borders, upto - min_words, side="right") - 1], upto], 1)
-    first, past = np.unique(np.concatenate([onward, back]), axis=0).T
-    form = " ".join(words).encode("utf-8", "surrogatepass")
-    digests = [xxhash.xxh3_128_digest(form[a:z])[:12] for a, z in zip(at[first].tolist(), (at[past] - 1).tolist())]
-    return places[first].tolist(), places[past].tolist(), digests
+    a, z = np.unique(np.concatenate([onward, back]), axis=0).T
+    # The words, each with a space after it.
+    at = np.concatenate([[0], np.cumsum(past - first + 1)])
+    form = np.full(at[-1], 32, np.uint32)
+    kept = np.ones(at[-1], bool)
+    kept[at[1:] - 1] = False
+    form[kept] = code[~blank]
+    raw = memoryview(form.tobytes())
+    digests = [xxhash.xxh3_128_digest(raw[i:j])[:12] for i, j in zip((4 * at[a]).tolist(), (4 * at[z] - 4).tolist())]
+    places = np.append(first, len(code))
+    return places[a].tolist(), places[z].tolist(), digests
 
 
 def merged(repeats: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -167,16 +200,25 @@ def substring_dedup(docs: DataFrame, unit: str = "stretch", min_words: int = 20,
     name of the input clashes.
     """
     docs = docs.drop("removed")
-    own_id, own_hash = free_name(docs, "id"), free_name(docs, "hash")
-    spans = (
+    own_id, own_hash, at, bits = (free_name(docs, c) for c in ("id", "hash", "at", "bits"))
+    spans = cut(
         repeated_stretches(docs, unit, min_words, spread, id_col, text_col)
         .distinct()
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_list(F.struct("start", "stop", "kept_doc_id", "kept_start")).alias("removed"))
         .select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), "removed")
     )
+
+    def bit(of_id: Column, of_hash: Column) -> Column:
+        return F.pmod(F.xxhash64(of_id, of_hash), F.lit(BITS))
+
+    marked = spans.select(bit(F.col(own_id), F.col(own_hash)).alias("bit")).groupBy(F.expr("bit div 64").alias(at)).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias(bits))
+    key = bit(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    flagged = docs.join(F.broadcast(marked), F.floor(key / 64) == F.col(at), "left")
+    loses = F.coalesce(F.getbit(F.col(bits), key % 64) == 1, F.lit(False))
+    others = flagged.where(~loses).select(*[F.col(f"`{c}`") for c in docs.columns]).withColumn("removed", F.array().cast(SPANS))
     own = (F.col(id_col).cast("long") == F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
-    joined = docs.join(spans, own, "left").drop(own_id, own_hash).withColumn("removed", F.coalesce("removed", F.array().cast(SPANS)))
+    joined = flagged.where(loses).select(*[F.col(f"`{c}`") for c in docs.columns]).join(spans, own, "left").drop(own_id, own_hash).withColumn("removed", F.coalesce("removed", F.array().cast(SPANS)))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,4 +240,4 @@ def substring_dedup(docs: DataFrame, unit: str = "stretch", min_words: int = 20,
             columns[-1] = pa.ListArray.from_arrays(offsets, values, type=lists.type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return joined.mapInArrow(run, joined.schema)
+    return joined.mapInArrow(run, joined.schema).unionByName(others)

@@ -1,6 +1,5 @@
 """SimHash, components and line deduplication against brute force."""
 
-import hashlib
 import random
 import re
 
@@ -120,7 +119,12 @@ def plain_stretches(text, unit, min_words, spread):
     words = plain_words(text)
     borders = {k for k, w in enumerate(words) if w[2]}
     if unit == "stretch":
-        h = [hashlib.md5(w[1].encode()).hexdigest()[:8] for w in words]
+        h = []
+        for w in words:
+            x = 0
+            for c in w[1]:
+                x = (x * substring_dedup.BASE + ord(c)) % 2**64
+            h.append(x * substring_dedup.MIX % 2**64 >> 32)
         fresh = [h[k] not in h[max(0, k - spread + 1) : k] for k in range(len(h))]
         for k in range(len(h) - spread + 1):
             if held := [p for p in range(k, k + spread) if fresh[p]]:
