@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Rows computed once, in the folder that ``spark.checkpoint.dir`` names (a temporary one only where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
+from graphloom.storage import cut
 
 
 def global_entities(entities: DataFrame) -> DataFrame:
