@@ -108,7 +108,8 @@ def format_conversations(rows: DataFrame, t: Template = TEMPLATE, conv_col: str
 
 
 def read_back(formatted: Column, t: Template = TEMPLATE) -> Column:
-    """The turns ``array<struct<role, text>>`` of a formatted conversation."""
+    """The turns ``array<struct<role, text, loss>>`` of a formatted conversation: role and text as they were, and whether
+    the text is under the loss mask."""
     before, after = t.open.split("{name}")
     # An escaped text never holds the closing mark, so cutting at it is exact.
     pieces = F.split(F.concat(formatted, F.lit(t.after)), _literal(t.close + t.after))
@@ -116,7 +117,8 @@ def read_back(formatted: Column, t: Template = TEMPLATE) -> Column:
     def turn(piece: Column) -> Column:
         at = F.instr(piece, F.lit(after))
         name = F.substring(piece, F.lit(len(before) + 1), at - len(before) - 1)
-        return F.struct(_role(name, t).alias("role"), unescaped(F.substring(piece, at + len(after), F.lit(1 << 30)), t).alias("text"))
+        role = _role(name, t)
+        return F.struct(role.alias("role"), unescaped(F.substring(piece, at + len(after), F.lit(1 << 30)), t).alias("text"), role.isin(list(t.loss)).alias("loss"))
 
     return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn)
 
@@ -128,7 +130,7 @@ def _literal(s: str) -> str:
 def digests(made: DataFrame, t: Template = TEMPLATE) -> DataFrame:
     """What the formatted conversations hold when read back, as counts and digests."""
     back = made.withColumn("turns", read_back(F.col("formatted"), t))
-    under_loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t))
+    under_loss = F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["text"])
     whole = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
     return back.withColumn("loss_text", F.array_join(under_loss, "")).select(
         "conv_id",

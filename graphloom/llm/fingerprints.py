@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import ascii_lower
+from graphloom.llm.shared import ascii_lower, free_name
 
 K = 128
 SHINGLE = 5
@@ -51,9 +51,14 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return _least(F.concat(a, b), k)
 
 
-def merge_all(sketches: Column, k: int = K) -> Column:
-    """An aggregate over any group of sketches: it explodes nothing and keeps k values after each merge."""
-    return F.aggregate(F.collect_list(sketches), F.array().cast("array<long>"), lambda s, x: merge(s, x, k))
+def merge_all(rows: DataFrame, keys: list[str], sketch_col: str, k: int = K) -> DataFrame:
+    """``(keys, <sketch_col>)``: the merged sketch of each group, however large; a null sketch adds nothing.
+
+    Hashes are made distinct before the shuffle, and each task hands on no more than the k least of a group.
+    """
+    each = rows.select(*keys, F.explode_outer(sketch_col).alias("hash")).distinct()
+    least = each.withColumn("nth", F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.asc_nulls_last("hash")))).where(F.col("nth") <= k)
+    return least.groupBy(*keys).agg(F.sort_array(F.collect_list("hash")).alias(sketch_col))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -83,33 +88,45 @@ def to_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _places(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds a key reaches: first among every so many of them, then among those in between."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = F.size(F.filter(F.lit(bounds[::step]), lambda b: b <= key))
+    fine = F.size(F.filter(F.slice(F.lit(bounds), (coarse - 1) * step + 1, F.lit(step)), lambda b: b <= key))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+
+
+def with_next(docs: DataFrame, columns: list[str], rows: int = 4096, id_col: str = "doc_id", text_col: str = "text", most: int = 16_384) -> DataFrame:
     """Every row with ``next_<c>`` of the row after it in the order of id and text; the first follows the last.
 
-    Ids are cut into ranges at their quantiles (a null id comes first), and each range also gets a copy of the row that
-    begins the next one, so a window over each range sees every successor.  The quantiles and the ranges' least ids, a
-    number of values set by ``ranges``, are all that the driver learns.
+    Ids are cut at their quantiles into ranges of about ``rows`` rows (a null id comes first), at most ``most`` of them, and
+    each range is a task.  It also gets a copy of the rows that begin the next one, so a window over each range sees every
+    successor.  The ranges' bounds and least ids, at most ``most`` numbers each, are all that the driver learns and
+    broadcasts.  Rows that repeat an id are one range.  An empty table gives none.  A column that has the name of a new one
+    is replaced; no other name clashes.
     """
     spark = docs.sparkSession
-    ranges = ranges or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    ids = docs.select(key.alias("key"))
-    steps = ids.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
-    bounds = F.lit(sorted(set(steps))) if steps else F.array().cast("array<long>")
-    place = F.size(F.filter(bounds, lambda b: b <= F.col("__key")))
-    heads = ids.withColumnRenamed("key", "__key").groupBy(place.alias("place")).agg(F.min("__key").alias("head")).orderBy("place").collect()
-    dealt = docs.withColumn("__key", key).withColumn("__place", place)
+    docs = docs.drop(*[f"next_{c}" for c in columns])
+    key, place, head, ahead, at = (free_name(docs, c) for c in ("key", "place", "head", "ahead", "at"))
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
+    ids = keyed.select(key)
+    ranges = min(most, -(-ids.count() // rows))
+    steps = ids.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] if ranges > 1 else []
+    dealt = keyed.withColumn(place, _places(F.col(key), sorted(set(steps or []))))
+    heads = dealt.groupBy(place).agg(F.min(key).alias(head)).orderBy(place).collect()
     if not heads:
-        return dealt.drop("__key", "__place").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    before = {h["head"]: heads[k - 1]["place"] if k else None for k, h in enumerate(heads)}
-    last = heads[-1]["place"]
-    turn = F.struct(F.col("__place").alias("place"), F.lit(0).alias("lap"))
-    ahead = F.create_map(*[F.lit(x) for head, p in before.items() for x in (head, last if p is None else p)])
-    guest = F.struct(F.element_at(ahead, F.col("__key")).alias("place"), F.lit(1).alias("lap"))
-    both = dealt.withColumn("__at", F.explode(F.when(F.col("__key").isin(list(before)), F.array(turn, guest)).otherwise(F.array(turn))))
-    order = Window.partitionBy(F.col("__at.place")).orderBy(F.col("__at.lap"), "__key", text_col)
-    out = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("__at.lap = 0")
-    return out.drop("__key", "__place", "__at")
+        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+    guests = [(h[head], heads[k - 1][place], 1 if k else 2) for k, h in enumerate(heads)]
+    met = dealt.join(F.broadcast(spark.createDataFrame(guests, f"{head} long, {ahead} int, {at} int")), F.col(key) == F.col(head), "left")
+    turn = F.struct(F.col(place).alias("place"), F.lit(0).alias("lap"))
+    guest = F.struct(F.col(ahead).alias("place"), F.col(at).alias("lap"))
+    both = met.select(*docs.columns, key, F.explode(F.when(F.col(head).isNotNull(), F.array(turn, guest)).otherwise(F.array(turn))).alias(at)).withColumn(place, F.col(f"{at}.place"))
+    order = Window.partitionBy(place).orderBy(F.col(f"{at}.lap"), key, text_col)
+    spread = both.repartitionById(heads[-1][place] + 1, F.col(place))
+    out = spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where(F.col(f"{at}.lap") == 0)
+    return out.drop(key, place, at)
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -66,15 +66,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def scored(docs: DataFrame, scores: Callable[[list[str | None]], np.ndarray], text_col: str) -> DataFrame:
-    """``docs`` and the column ``__score``, computed from whole texts in portions of bounded size."""
-    place, schema = docs.columns.index(text_col), docs.withColumn("__score", F.lit(0.0)).schema
+def scored(docs: DataFrame, scores: Callable[[list[str | None]], np.ndarray], text_col: str, name: str = "score") -> DataFrame:
+    """``docs`` and a new column of scores, computed from whole texts in portions of bounded size."""
+    place, schema = docs.columns.index(text_col), docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(place).to_pylist()
             found = [scores(texts[i:j]) for i, j in portions(texts, 500_000)]
             values = np.concatenate(found) if found else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)

@@ -4,13 +4,17 @@ What decides a packing is how many pieces there are of each length, and lengths
 has a bounded number of rows whatever the corpus, so it is packed exactly on the driver and the plan, which says which
 ranks of which length go where, is bounded too.
 
-1.  Pieces longer than ``large`` of the capacity are sorted by falling length and grouped into ``groups`` groups of equal
+1.  Pieces longer than a share ``large`` of the capacity are sorted by falling length and grouped into ``groups`` groups of equal
     cardinality; each counts as long as the longest of its group.
 2.  The linear program over configurations (multisets of group sizes that fit a sequence) is solved by column generation;
     its solution is rounded down.
 3.  The configurations' places are filled with actual pieces of their groups, whose true lengths leave more room.
 4.  What rounding left over and all small pieces go, by falling length, each into the fullest sequence that holds it.
 
+Which pieces count as large decides how well that goes: grouping wins where most pieces take a third of a sequence or so,
+and loses a little where small ones can fill any room.  So the histogram is packed with each of several bounds, the last
+of which leaves every piece to best fit, and the plan with the fewest sequences is taken.
+
 Sequences filled alike are handled as runs, so the time does not grow with the number of pieces.
 """
 
@@ -127,8 +131,21 @@ class Plan:
             self.leave(free, first, count)
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 96, large: float = 0.125) -> Plan:
-    """Where the pieces of each length go; ``histogram`` has the number of pieces by length."""
+def plan(histogram: dict[int, int], capacity: int, groups: int = 96, larges: tuple[float, ...] = (0.5, 0.25, 0.125, 1.0)) -> Plan:
+    """Where the pieces of each length go; ``histogram`` has the number of pieces by length.  The best of a plan for each
+    bound in ``larges``, the first of equals; none is worse than best fit alone if 1 is among them."""
+    least, found = -(-sum(s * n for s, n in histogram.items()) // capacity), None
+    for large in larges:
+        tried = grouped(histogram, capacity, groups, large)
+        if found is None or tried.sequences < found.sequences:
+            found = tried
+        if found.sequences == least:
+            break
+    return found
+
+
+def grouped(histogram: dict[int, int], capacity: int, groups: int, large: float) -> Plan:
+    """Linear grouping of the pieces above the share ``large`` of the capacity, best fit for the others."""
     out = Plan(capacity)
     lengths = sorted((s for s in histogram if s > large * capacity), reverse=True)
     total = sum(histogram[s] for s in lengths)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.labelled import code_points, fitted, fold, scored, sigmoid
+from graphloom.llm.shared import free_name
 
 PASSAGE = 400
 CLASSES = 12
@@ -152,10 +153,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, t
     tables give no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = scored(rows, fit(docs, labels, s).scores, "text").withColumnRenamed("__score", "score")
+    out = scored(rows, fit(docs, labels, s).scores, "text")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents that reach the threshold, with all their columns."""
-    return scored(docs, fit(docs, labels, s).scores, text_col).where(F.col("__score") >= threshold).drop("__score")
+    """The documents that reach the threshold, with all their columns, whatever their names.
+
+    Null and empty texts are scored like any other, rows that repeat an id row by row, a very long text in whole; rows with
+    a null id are scored too, and an empty table gives none.
+    """
+    name = free_name(docs, "score")
+    return scored(docs, fit(docs, labels, s).scores, text_col, name).where(F.col(name) >= threshold).drop(name)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import cut, remove, shared_folder
+
+__all__ = ["ascii_lower", "cut", "free_name", "new_folder", "remove", "shared_folder", "table"]
+
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,30 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees.
-
-    Only where it is unset (tests, one machine) a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(root)
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder: no later stage runs the plan above again,
-    and no lost executor takes them along."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, CAPITALS, SMALL)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import cut
+from graphloom.llm.shared import cut, free_name
 
 RADIUS = 2
 SEED = 42
@@ -159,6 +159,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows with a null id stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    name = free_name(docs, "kept")
+    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     own = F.col(id_col).cast("long")
-    return docs.join(kept, own == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | own.isNull()).drop("__kept")
+    return docs.join(kept, own == F.col(name), "left").where(F.col(name).isNotNull() | own.isNull()).drop(name)

@@ -178,7 +178,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     -> manifest ``(part, seq, path, n_docs, n_tokens, bytes)``, in whose order the files hold the documents.  ``folder``
     is a URI that every executor can write.  A null or empty text has the end id alone; a null id comes first; rows that
-    repeat an id are documents of their own, ordered by text.  An empty table gives an empty manifest.
+    repeat an id are documents of their own, ordered by a hash of the text, which also deals them to tasks.  An empty table gives an empty manifest.
 
     One range partitioning brings the texts into order; each task encodes and writes its own range, a file at a time.
     """
@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         cols = list(zip(*made)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "seq", "path", "n_docs", "n_tokens", "bytes"])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     return cut(ordered.mapInArrow(run, MANIFEST))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import portions
 from graphloom.llm.labelled import code_points, fitted, fold, mixed, scored, sigmoid
+from graphloom.llm.shared import free_name
 
 SPACE = re.compile(r"\s+")
 
@@ -121,12 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, label: str =
     return fitted(docs, labels, label, s.sample_rows, s.sample_chars, lambda texts, toxic: train(texts, toxic, s))
 
 
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``__score`` (double, 0 to 1); only the text is an input.
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a new column (double, 0 to 1); only the text is an input.
 
     A null text is scored as an empty one.  Every whole text is scored, in portions of bounded size.
     """
-    return scored(docs, model.scores, text_col)
+    return scored(docs, model.scores, text_col, name)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, threshold: float = 0.5) -> DataFrame:
@@ -136,10 +137,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS,
     labels every score is the same (see ``train``); other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = score_documents(rows, fit(docs, labels, s)).withColumnRenamed("__score", "score")
+    out = score_documents(rows, fit(docs, labels, s))
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS, threshold: float = 0.5) -> DataFrame:
-    """The documents with a score below the threshold, with all their columns."""
-    return score_documents(docs, fit(docs, labels, s)).where(F.col("__score") < threshold).drop("__score")
+    """The documents with a score below the threshold, with all their columns, whatever their names.
+
+    Null and empty texts are scored like any other, rows that repeat an id row by row, a very long text in whole; rows with
+    a null id are scored too, and an empty table gives none.
+    """
+    name = free_name(docs, "score")
+    return score_documents(docs, fit(docs, labels, s), name=name).where(F.col(name) < threshold).drop(name)
