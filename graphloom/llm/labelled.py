@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import portions
+from graphloom.llm.shared import lean, slices
 
 FOLDS = 5
 
@@ -45,7 +46,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
                     held += len(text)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(known)))], pa.binary())], ["model"])
 
-    made = first.coalesce(1).mapInArrow(run, "model binary").collect()
+    made = first.coalesce(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else train([], np.empty(0))
 
 
@@ -71,10 +72,10 @@ def scored(docs: DataFrame, scores: Callable[[list[str | None]], np.ndarray], te
     place, schema = docs.columns.index(text_col), docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, place):
             texts = b.column(place).to_pylist()
             found = [scores(texts[i:j]) for i, j in portions(texts, 500_000)]
             values = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import encoder, portions
-from graphloom.llm.shared import cut
+from graphloom.llm.shared import cut, lean, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -209,7 +209,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         end = np.array([] if end_id is None else [end_id], "<u4")
-        for b in batches:
+        for b in slices(batches, 1):
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in portions(texts):
                 rows = []
@@ -222,7 +222,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0, groups: int = 96, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import cut, free_name
+from graphloom.llm.shared import cut, free_name, lean, slices
 
 SPANS = "array<struct<start:int,stop:int,kept_doc_id:bigint,kept_start:int>>"
 UNITS = ("stretch", "line", "paragraph")
@@ -37,6 +37,7 @@ UNITS = ("stretch", "line", "paragraph")
 UNSPACED = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 LONGEST = 16  # characters of a word
 BITS = 1 << 24
+DIGEST = 12  # bytes
 #: A word's hash is the polynomial of its code points at BASE, times MIX, modulo 2^64: the upper half.
 BASE, MIX = 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51
 
@@ -98,14 +99,14 @@ def winnowed(hashes: np.ndarray, spread: int) -> np.ndarray:
     return np.unique(least[least < none] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def stretches(text: str | None, unit: str = "stretch", min_words: int = 20, spread: int = 15) -> tuple[list[int], list[int], list[bytes]]:
-    """Starts, stops and 96-bit digests of a text's stretches; one stops where the word after it starts."""
+def stretches(text: str | None, unit: str = "stretch", min_words: int = 20, spread: int = 15) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Starts, stops and, one after another, 96-bit digests of a text's stretches; one stops where the word after it starts."""
     if unit not in UNITS:
         raise ValueError(f"no unit {unit!r}")
     code, blank, first, past = words(text or "")
     n = len(first)
     if n < min_words:
-        return [], [], []
+        return np.empty(0, np.int64), np.empty(0, np.int64), b""
     # How many line feeds come before each word tells which ones begin a line.
     feeds = np.concatenate([[0], np.cumsum(code == 10)])
     gap = feeds[first[1:]] - feeds[past[:-1]]
@@ -130,9 +131,9 @@ def stretches(text: str | None, unit: str = "stretch", min_words: int = 20, spre
     kept[at[1:] - 1] = False
     form[kept] = code[~blank]
     raw = memoryview(form.tobytes())
-    digests = [xxhash.xxh3_128_digest(raw[i:j])[:12] for i, j in zip((4 * at[a]).tolist(), (4 * at[z] - 4).tolist())]
+    digests = b"".join([xxhash.xxh3_128_digest(raw[i:j])[:DIGEST] for i, j in zip((4 * at[a]).tolist(), (4 * at[z] - 4).tolist())])
     places = np.append(first, len(code))
-    return places[a].tolist(), places[z].tolist(), digests
+    return places[a], places[z], digests
 
 
 def merged(repeats: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -170,19 +171,16 @@ def repeated_stretches(docs: DataFrame, unit: str = "stretch", min_words: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, starts, stops, digests = [], [], [], []
-            for row, text in enumerate(b.column(2).to_pylist()):
-                own = stretches(text, unit, min_words, spread)
-                rows += [row] * len(own[0])
-                starts += own[0]
-                stops += own[1]
-                digests += own[2]
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "text_hash", "start", "stop", "digest"])
+        for b in slices(batches, 2):
+            own = [stretches(text, unit, min_words, spread) for text in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x[0]) for x in own]))
+            raw = pa.py_buffer(b"".join(x[2] for x in own))
+            digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIGEST), len(at), [None, raw]).cast(pa.binary())
+            places = [pa.array(np.concatenate([x[k] for x in own]).astype(np.int32)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *places, digests], ["doc_id", "text_hash", "start", "stop", "digest"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string"))
-    found = rows.mapInArrow(run, "doc_id long, text_hash long, start int, stop int, digest binary")
+    found = rows.mapInArrow(lean(run), "doc_id long, text_hash long, start int, stop int, digest binary")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.count("*").alias("n"))
     again = cut(first.where("n > 1").select("digest", "first"))  # a table of its own, so that the join below can be split
     held = found.join(again, "digest").where("struct(doc_id, text_hash, start) <> first")
@@ -222,7 +220,7 @@ def substring_dedup(docs: DataFrame, unit: str = "stretch", min_words: int = 20,
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, place):
             lists = b.column(b.num_columns - 1)
             flat, lengths = lists.flatten(), lists.value_lengths().to_pylist()
             fields = [flat.field(k).to_pylist() for k in range(4)]
@@ -240,4 +238,4 @@ def substring_dedup(docs: DataFrame, unit: str = "stretch", min_words: int = 20,
             columns[-1] = pa.ListArray.from_arrays(offsets, values, type=lists.type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return joined.mapInArrow(run, joined.schema).unionByName(others)
+    return joined.mapInArrow(lean(run), joined.schema).unionByName(others)

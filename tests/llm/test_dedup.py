@@ -221,7 +221,7 @@ def test_clashing_names(spark):
 def test_paragraphs():
     text = "one two three\nfour five six\n\nseven eight nine ten eleven\n"
     starts, stops, _ = substring_dedup.stretches(text, "paragraph", 5)
-    assert [text[a:b] for a, b in zip(starts, stops)] == ["one two three\nfour five six\n\n", "seven eight nine ten eleven\n"]
+    assert [text[a:b] for a, b in zip(starts.tolist(), stops.tolist())] == ["one two three\nfour five six\n\n", "seven eight nine ten eleven\n"]
 
 
 def test_cut_keeps_rows(spark):
