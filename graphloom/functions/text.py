@@ -29,18 +29,13 @@ def sentences(c: Column) -> Column:
     return F.split(c, f"(?<=[.!?]){WS}+", -1)
 
 
-def windows(c: Column) -> Column:
-    """Each sentence with the one after it, joined by a space and stripped; the last stands alone."""
-    return F.transform(sentences(c), lambda x, i: strip(F.concat_ws(" ", x, F.get(sentences(c), i + 1))))
-
-
 def normalized_answer(c: Column) -> Column:
     """Lower case, only letters, digits, underscores and spaces, single spaces."""
-    return F.array_join(tokens(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}_\\s]", "")), " ")
+    return F.array_join(tokens(F.regexp_replace(F.lower(c), "(?U)[^\\p{L}\\p{N}_\\s\\x1c-\\x1f]", "")), " ")
 
 
 def without_assistant(c: Column) -> Column:
-    return F.regexp_replace(c, "\\Aassistant:\\s*", "")
+    return F.regexp_replace(c, f"\\Aassistant:{WS}*", "")
 
 
 #: The marks at which an answer ends, for the final and for the local answer.

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from graphloom.functions.text import tokens
 
@@ -27,10 +30,24 @@ def bucket(word: Column) -> Column:
     return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % DIMENSIONS
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _counted(hits: pd.Series) -> pd.Series:
+    """How often each bucket is hit, all rows of a batch at once, by unit length."""
+    sizes = hits.map(len).to_numpy()
+    rows = np.repeat(np.arange(len(hits)), sizes)
+    every = np.concatenate([np.asarray(h, np.int64) for h in hits]) if len(rows) else np.empty(0, np.int64)
+    counts = np.bincount(rows * DIMENSIONS + every, minlength=len(hits) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(float)
+    return pd.Series(list(counts / (np.sqrt((counts**2).sum(axis=1, keepdims=True)) + 1e-10)))
+
+
 def embed(text: Column) -> Column:
     """How often each bucket is hit by the words of a text, in lower case; unit length, or zero for a text without words."""
-    hits = F.transform(tokens(F.lower(text)), lambda w: bucket(w).cast("int"))
-    return F.element_at(F.transform(F.array(hits), lambda h: unit_of(F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: (F.size(h) - F.size(F.array_remove(h, d))).cast("double")))), 1)
+    return _counted(F.coalesce(F.transform(tokens(F.lower(text)), lambda w: bucket(w).cast("int")), F.array().cast("array<int>")))
+
+
+def usable(a: Column) -> Column:
+    """Whether a vector has a length: neither zero nor without a number."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: (n > 0) & ~F.isnan(n)), 1)
 
 
 def unit_of(a: Column) -> Column:

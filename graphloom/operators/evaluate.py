@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import parse
 from graphloom.functions import text as T
+from graphloom.models import Provider
 
 
 def scores(rows: DataFrame, k: int = 10) -> DataFrame:
@@ -28,7 +30,15 @@ def token_f1(rows: DataFrame) -> DataFrame:
     return rows.select("id", size.alias("n")).join(shared, "id", "left").select("id", F.when(F.col("m") > 0, 2.0 * F.col("m") / F.col("n")).otherwise(F.lit(0.0)).alias("f1"))
 
 
-def evaluate(rows: DataFrame, k: int = 10) -> DataFrame:
-    """All metrics in one row."""
+def judged(rows: DataFrame, provider: Provider | None) -> DataFrame:
+    """``(id, judged)``: the model's 0 or 1 for each ``(id, question, answer, gold)``; without a provider an error."""
+    if provider is None:
+        raise ValueError("a judge needs a provider")
+    return rows.select("id", parse.judgement(provider.judge_response(F.col("question"), F.col("gold"), F.col("answer"))).alias("judged"))
+
+
+def evaluate(rows: DataFrame, k: int = 10, provider: Provider | None = None) -> DataFrame:
+    """All metrics in one row; the judge's only with a provider, for which rows need a question."""
     s = scores(rows, k).agg(F.avg("exact").alias("exact_match"), F.avg("held").alias("contains_answer"), F.avg("hit").alias(f"hit_at_{k}"))
-    return s.join(token_f1(rows).agg(F.avg("f1").alias("f1")))
+    out = s.join(token_f1(rows).agg(F.avg("f1").alias("f1")))
+    return out if provider is None else out.join(judged(rows, provider).agg(F.avg("judged").alias("llm_score")))

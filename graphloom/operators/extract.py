@@ -1,17 +1,16 @@
 """From documents to entity and relation mentions, and their merge within a document (the default chunk).
 
-The default provider, which needs no model, takes capitalised words of a window as entities and every pair of them as a
-relation.  A model's provider is any function from windows to mentions with the same columns (see ``models``).
+Names, types and texts come from a provider (see ``models``): its model, prompts and parsers, or rules without a model.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-
-CAPITALISED = "(?:^|[^\\p{L}])(\\p{Lu}\\p{L}{2,})"
+from graphloom.models import OFFLINE, Provider
+from graphloom.storage import cut
 
 
 def chunks(docs: DataFrame, size: int = 1024, overlap: int = 20) -> DataFrame:
@@ -35,6 +34,11 @@ def chunks(docs: DataFrame, size: int = 1024, overlap: int = 20) -> DataFrame:
     return docs.select("doc_id", F.posexplode(packed).alias("chunk_idx", "c")).select("doc_id", "chunk_idx", F.array_join(F.transform("c", lambda x: x["s"]), " ").alias("text"))
 
 
+def chunked(docs: DataFrame, size: int = 1024, overlap: int = 20) -> DataFrame:
+    """``(doc_id, text)`` where every chunk is a document: its id is the pair of both."""
+    return chunks(docs, size, overlap).select(F.struct("doc_id", "chunk_idx").alias("doc_id"), "text")
+
+
 def windows(docs: DataFrame) -> DataFrame:
     """``(doc_id, win_idx, text)``: each sentence with the next; empty windows are left out.  No shuffle."""
     split = docs.select("doc_id", T.sentences(F.col("text")).alias("s"))
@@ -42,25 +46,33 @@ def windows(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", F.posexplode(pairs).alias("win_idx", "text")).where("text <> ''")
 
 
-def _description(width: int | None) -> Column:
-    return F.col("text") if width is None else F.substring("text", 1, width)
+def named_windows(wins: DataFrame, provider: Provider = OFFLINE) -> DataFrame:
+    """``(doc_id, win_idx, text, found)``: what the provider finds in each window; windows without anything are asked for
+    again as often as the provider says, and then left out."""
+    named = wins.withColumn("found", provider.entities(F.col("text")))
+    if provider.attempts == 1:
+        return named.where("size(found) > 0")
+    named = cut(named)
+    for _ in range(provider.attempts - 1):
+        empty = named.where("size(found) = 0")
+        if empty.isEmpty():
+            break
+        named = cut(named.where("size(found) > 0").unionByName(empty.withColumn("found", provider.entities(F.col("text")))))
+    return named.where("size(found) > 0")
 
 
-def window_entities(wins: DataFrame, width: int | None = None) -> DataFrame:
-    """``(doc_id, win_idx, name, etype, descr)``: each name once per window, in the order of the names.  The description
-    is the window's text, or its first ``width`` characters."""
-    names = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(1)), lambda x: F.lower(x))))
-    found = wins.select("doc_id", "win_idx", _description(width).alias("descr"), F.explode(names).alias("name"))
-    return found.select("doc_id", "win_idx", "name", F.when(F.length("name") <= 5, "SHORT").otherwise("LONG").alias("etype"), "descr")
+def window_entities(named: DataFrame) -> DataFrame:
+    """``(doc_id, win_idx, name, etype, descr)``: each name and type once per window, the first description of several."""
+    each = F.transform("found", lambda e: F.struct(T.strip(e["name"]).alias("name"), T.strip(e["etype"]).alias("etype"), T.strip(e["descr"]).alias("descr")))
+    keys = F.transform("each", lambda e: F.struct(e["name"], e["etype"]))
+    once = F.filter("each", lambda e, i: F.array_position(F.col("keys"), F.struct(e["name"], e["etype"])) == i + 1)
+    return named.select("doc_id", "win_idx", each.alias("each")).withColumn("keys", keys).select("doc_id", "win_idx", F.inline(once))
 
 
-def window_relations(wins: DataFrame, width: int | None = None) -> DataFrame:
-    """``(doc_id, win_idx, src, dst, rel, descr)`` for every two names of a window, made inside the window's own row."""
-    names = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(1)), lambda x: F.lower(x))))
-    held = wins.select("doc_id", "win_idx", _description(width).alias("descr"), names.alias("names")).where("size(names) > 1")
-    first = held.select("*", F.posexplode("names").alias("i", "src"))
-    pairs = first.select("*", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("dst"))
-    return pairs.select("doc_id", "win_idx", "src", "dst", F.concat(F.lit("co_"), F.substring("src", 1, 1), F.substring("dst", 1, 1)).alias("rel"), "descr")
+def window_relations(named: DataFrame, provider: Provider = OFFLINE) -> DataFrame:
+    """``(doc_id, win_idx, src, dst, rel, descr)`` of the windows with two entities or more, made inside the window's row."""
+    asked = named.where("size(found) > 1").select("doc_id", "win_idx", provider.relations(F.col("text"), F.col("found")).alias("r"))
+    return asked.select("doc_id", "win_idx", F.explode("r").alias("r")).select("doc_id", "win_idx", *[T.strip(F.col(f"r.{c}")).alias(c) for c in ("src", "dst", "rel", "descr")])
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
@@ -68,21 +80,29 @@ def merge_entities(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("doc_id", "name", "etype").agg(F.array_join(F.array_sort(F.collect_set("descr")), " | ").alias("descr"), F.min("win_idx").alias("first_win"), F.count("*").alias("mentions"))
 
 
+def _known(relations: DataFrame, entities: DataFrame, how: str) -> DataFrame:
+    names = entities.select("doc_id", F.col("name")).distinct()
+    return relations.join(names.withColumnRenamed("name", "src"), ["doc_id", "src"], how).join(names.withColumnRenamed("name", "dst"), ["doc_id", "dst"], how)
+
+
 def merge_relations(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Per document one row for each (source, target, relation) whose two ends are entities of that document."""
-    names = entities.select("doc_id", F.col("name")).distinct()
-    merged = mentions.groupBy("doc_id", "src", "dst", "rel").agg(F.array_join(F.array_sort(F.collect_set("descr")), " | ").alias("descr"), F.count("*").alias("mentions"))
-    return merged.join(names.withColumnRenamed("name", "src"), ["doc_id", "src"], "left_semi").join(names.withColumnRenamed("name", "dst"), ["doc_id", "dst"], "left_semi")
+    merged = mentions.groupBy("doc_id", "src", "dst", "rel").agg(F.array_join(F.array_sort(F.collect_set("descr")), " | ").alias("descr"), F.count("*").alias("mentions"), F.min("win_idx").alias("first_win"))
+    return _known(merged, entities, "left_semi").drop("first_win")
 
 
 def extraction_stats(mentions: DataFrame, relations: DataFrame) -> DataFrame:
-    """How many descriptions were merged, per kind, and how many relations were read: one row."""
+    """How many descriptions were merged, per kind, how many relations were read, and how many distinct ones of a document
+    have an end that is no entity of it: one row."""
     e = mentions.groupBy("doc_id", "name", "etype").agg((F.count_distinct("descr") - 1).alias("m")).agg(F.sum("m").alias("entity_merges"), F.count("*").alias("entities"))
-    r = relations.groupBy("doc_id", "src", "dst", "rel").agg((F.count_distinct("descr") - 1).alias("m"), F.count("*").alias("n"))
-    return e.join(r.agg(F.sum("m").alias("relation_merges"), F.sum("n").alias("raw_relations")))
+    each = relations.groupBy("doc_id", "src", "dst", "rel").agg((F.count_distinct("descr") - 1).alias("m"), F.count("*").alias("n"))
+    r = each.agg(F.sum("m").alias("relation_merges"), F.sum("n").alias("raw_relations"), F.count("*").alias("distinct_relations"))
+    known = _known(each, mentions, "left_semi").agg(F.count("*").alias("known"))
+    return e.join(r).join(known).withColumn("unknown_entity_relations", F.col("distinct_relations") - F.col("known")).drop("distinct_relations", "known")
 
 
-def leaked_descriptions(relations: DataFrame) -> DataFrame:
-    """Compatibility: the description that an end of relation k carries is relation k - 1's (none for the first)."""
-    order = Window.partitionBy("doc_id").orderBy("src", "dst", "rel")
-    return relations.withColumn("leaked", F.lag("descr").over(order))
+def leaked_descriptions(mentions: DataFrame) -> DataFrame:
+    """Compatibility: the description that both ends of relation k of a document carry is relation k - 1's, and none for the
+    first; relations are numbered as they were first read: by window, then as the window gives them."""
+    merged = mentions.withColumn("at", F.struct("win_idx", "src", "dst", "rel")).groupBy("doc_id", "src", "dst", "rel").agg(F.array_join(F.array_sort(F.collect_set("descr")), " | ").alias("descr"), F.min("at").alias("at"))
+    return merged.withColumn("leaked", F.lag("descr").over(Window.partitionBy("doc_id").orderBy("at"))).drop("at")

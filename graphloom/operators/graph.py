@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.functions import text as T
-from graphloom.storage import cut
+from graphloom.storage import Rounds, cut
+
+
+@F.pandas_udf(StringType())
+def _folded(lists: pd.Series) -> pd.Series:
+    """Each text is added after a space unless it is part of what is there."""
+
+    def of(texts) -> str:
+        out = ""
+        for t in texts:
+            if t not in out:
+                out = f"{out} {t}" if out else t
+        return out
+
+    return lists.map(of)
+
+
+def entity_descriptions(entities: DataFrame) -> DataFrame:
+    """``(name, descr, doc_id, first_win, label)``: every distinct description of a name in a row of its own, with the place
+    that has it first.  This is the form for names that a large part of all documents has."""
+    d = F.coalesce(F.col("descr"), F.lit("")).alias("descr")
+    once = entities.groupBy(T.strip(F.lower("name")).alias("name"), d).agg(F.min(F.struct("doc_id", "first_win", F.lower("etype").alias("label"))).alias("ord"))
+    return once.select("name", "descr", "ord.*")
 
 
 def global_entities(entities: DataFrame) -> DataFrame:
     """One row per name: the first label, and a description to which each further one is added unless it is part of it.
 
     That fold depends on the order, (document, first window, type); equal descriptions are dropped before it, which
-    changes nothing and keeps the fold short."""
-    d = F.coalesce(F.col("descr"), F.lit(""))
-    once = entities.groupBy(T.strip(F.lower("name")).alias("name"), d.alias("d")).agg(F.min(F.struct("doc_id", "first_win", F.lower("etype").alias("etype"))).alias("ord"))
-    parts = once.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "d"))).alias("parts"))
-    fold = F.aggregate(
-        "parts", F.lit(""),
-        lambda acc, x: F.when((x["d"] == "") | F.contains(acc, x["d"]), acc).when(acc == "", x["d"]).otherwise(F.concat(acc, F.lit(" "), x["d"])),
-    )
-    return parts.select("name", F.get("parts", F.lit(0))["ord"]["etype"].alias("label"), fold.alias("entity_description"))
+    changes nothing and keeps the fold short.  A name's row holds all its distinct descriptions, as its definition says."""
+    once = entity_descriptions(entities)
+    parts = once.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("doc_id", "first_win", "label", "descr"))).alias("parts"))
+    return parts.select("name", F.get("parts", F.lit(0))["label"].alias("label"), _folded(F.col("parts.descr")).alias("entity_description"))
+
+
+def counts(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
 
 
 def undirected_edges(relations: DataFrame) -> DataFrame:
@@ -37,6 +60,12 @@ def label_groups(edges: DataFrame) -> DataFrame:
     return edges.groupBy("label").agg(F.count("*").alias("members"), F.min("src").alias("first_src"), F.max("dst").alias("last_dst"))
 
 
+def label_members(edges: DataFrame) -> DataFrame:
+    """``(label, source_id, target_id)``: the members of every label's group, a row each; a relation meets its group's
+    members by joining on the label, instead of carrying a copy of them all."""
+    return edges.select("label", F.col("src").alias("source_id"), F.col("dst").alias("target_id")).distinct()
+
+
 def final_relations(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges whose two ends are entities, each with the number of its label's members; the members themselves stay in
     one place, the edge table, and are joined by label where a row must carry them."""
@@ -70,45 +99,144 @@ def cluster_size(stats: DataFrame) -> DataFrame:
     return stats.select("nodes", "edges", F.when(n == 0, 100).otherwise(F.greatest(F.lit(500), F.least(value, F.lit(3000)))).cast("long").alias("max_cluster_size"))
 
 
-def label_propagation(adj: DataFrame, rounds: int = 3, groups: DataFrame | None = None) -> DataFrame:
-    """``(node, label)``: every node takes the most frequent label of its neighbours, the smallest of several.
-
-    With ``groups (node, cluster_id)`` only neighbours of the same group count.  Counts are combined before the shuffle,
-    so a hub costs one row for each distinct label around it."""
+def _inside(adj: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Distinct links ``(src, dst)`` without loops; with ``groups (node, cluster_id)`` only those inside a group."""
     links = adj.where("src <> dst").select("src", "dst").distinct()
-    if groups is not None:
-        a, b = groups.select(F.col("node").alias("src"), F.col("cluster_id").alias("g")), groups.select(F.col("node").alias("dst"), F.col("cluster_id").alias("h"))
-        links = links.join(a, "src").join(b, "dst").where("g = h").select("src", "dst")
-    links = cut(links)
-    labels = links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    if groups is None:
+        return links
+    a, b = groups.select(F.col("node").alias("src"), F.col("cluster_id").alias("g")), groups.select(F.col("node").alias("dst"), F.col("cluster_id").alias("h"))
+    return links.join(a, "src").join(b, "dst").where("g = h").select("src", "dst", "g")
+
+
+def label_propagation(adj: DataFrame, bound: int = 1000) -> DataFrame:
+    """``(node, label)``: every node takes the most frequent label of its neighbours, the smallest of several, until
+    nothing changes.
+
+    All nodes move at once, and such majorities end in a fixed point or in two states that take turns; of those a node keeps
+    the smaller label.  Counts are combined before the shuffle, so a hub costs one row for each distinct label around it.
+    Not to have ended after ``bound`` rounds is an error."""
+    rounds = Rounds(adj.sparkSession)
+    links = cut(_inside(adj, None))
+    labels = rounds.keep(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    older = None
+    for _ in range(bound):
         votes = links.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("v"))
-        labels = cut(best.select(F.col("src").alias("node"), F.col("v.label").alias("label")))
-    return labels
-
-
-def communities(adj: DataFrame, max_size: int, rounds: int = 3, max_levels: int = 4) -> DataFrame:
-    """``(level, cluster_id, node)``: level 0 is the partition by label propagation; the nodes of a cluster above
-    ``max_size`` are partitioned again on the next level, by links inside the cluster.
-
-    Cluster ids are unique over all levels and deterministic.  A cluster that propagation can't split any further is cut
-    by a hash of the node into parts of about the size, so the last level keeps the bound."""
-    level = label_propagation(adj, rounds).select(F.lit(0).alias("level"), F.xxhash64(F.lit(0), "label").alias("cluster_id"), "node")
+        new = rounds.keep(best.select(F.col("src").alias("node"), F.col("v.label").alias("label")))
+        for old in (labels, older):
+            if old is not None and new.join(old.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty():
+                both = new.join(labels.withColumnRenamed("label", "was"), "node")
+                return rounds.done(both.select("node", F.least("label", "was").alias("label")))
+        labels, older = new, labels
+    raise RuntimeError(f"labels did not settle in {bound} rounds")
+
+
+def _moved(links: DataFrame, labels: DataFrame, half: int, rounds: Rounds) -> tuple[DataFrame, int]:
+    """One round of local moving over ``labels (node, label, degree, g, total)``: of half of the nodes, each goes to the
+    neighbouring community with the greatest gain in modularity, if that is more than its own; and how many nodes of either
+    half would."""
+    volumes = labels.groupBy("label").agg(F.sum("degree").alias("volume"))
+    votes = links.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label", "w")
+    # A node's own community counts even without a link into it.
+    options = votes.unionByName(labels.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("k"))
+    rated = options.join(volumes, "label").join(labels.withColumnRenamed("label", "own"), "node")
+    stays = F.col("label") == F.col("own")
+    gain = F.round(F.col("k") - F.col("degree") * (F.col("volume") - F.when(stays, F.col("degree")).otherwise(0.0)) / F.col("total"), 9)
+    best = rated.groupBy("node", "own", "degree", "g", "total").agg(F.min(F.struct((-gain).alias("loss"), "label")).alias("b"), F.max(F.when(stays, gain)).alias("held"))
+    better = -F.col("b.loss") > F.col("held")
+    turn = F.pmod(F.xxhash64("node", F.lit(half // 2)), F.lit(2)) == half % 2
+    new = rounds.keep(best.select("node", F.when(better & turn, F.col("b.label")).otherwise(F.col("own")).alias("label"), "degree", "g", "total", better.alias("wants")))
+    return new.drop("wants"), new.where("wants").count()
+
+
+def modularity(links: DataFrame, labels: DataFrame) -> float:
+    """The sum over groups of their modularity, 0 for no links."""
+    sides = [labels.select(F.col("node").alias(end), F.col("label").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
+    inside = links.join(sides[0], "src").join(sides[1], "dst").where("a = b").groupBy("g").agg(F.sum("w").alias("inside"))
+    spread = labels.groupBy("g", "total", "label").agg(F.sum("degree").alias("d")).groupBy("g", "total").agg(F.sum(F.col("d") * F.col("d")).alias("squares"))
+    q = spread.join(inside, "g", "left").select((F.coalesce("inside", F.lit(0.0)) / F.col("total") - F.col("squares") / (F.col("total") * F.col("total"))).alias("q"))
+    return q.agg(F.sum("q")).first()[0] or 0.0
+
+
+def partition(adj: DataFrame, groups: DataFrame | None = None, settled: float = 0.01) -> DataFrame:
+    """``(node, label)``: communities of high modularity inside each group, by local moving and aggregation.
+
+    Half of the nodes move at a time, the halves dealt anew by a hash, so two nodes seldom change places for ever.  Moving
+    goes on until only the share ``settled`` of the nodes wants to, or for three rounds no fewer did than ever before; then
+    communities become nodes, and it begins again, until modularity gains nothing.  Last, what isn't connected inside its community is parted.  A
+    label is the least node of its community, so the result doesn't depend on how the data is dealt.  Every round is a few
+    grouped sums and joins on node or label."""
+    rounds, kept = Rounds(adj.sparkSession, 8), Rounds(adj.sparkSession, 8)
+    links = _inside(adj, groups)
+    links = cut(links.select("src", "dst", F.lit(1.0).alias("w"), links["g"] if groups is not None else F.lit("").alias("g")))
+    base, found, q = links, None, None
+    while True:
+        degrees = links.groupBy(F.col("src").alias("node"), "g").agg(F.sum("w").alias("degree"))
+        totals = degrees.groupBy("g").agg(F.sum("degree").alias("total"))
+        labels = kept.keep(degrees.join(totals, "g").select("node", F.col("node").alias("label"), "degree", "g", "total"))
+        start = modularity(links, labels) if q is None else q
+        best, half, idle, fewest = labels, 0, 0, None
+        enough = settled * labels.count()
+        while idle < 3:
+            labels, wants = _moved(links, labels, half, rounds)
+            half, idle = half + 1, idle + 1
+            if fewest is None or wants < fewest:
+                best, fewest, idle = labels, wants, 0
+            if wants <= enough:
+                break
+        q = modularity(links, best)
+        if found is not None and q <= start + 1e-6:
+            break
+        least = best.groupBy("label").agg(F.min("node").alias("least"))
+        named = kept.keep(best.join(least, "label").select("node", F.col("least").alias("label")))
+        found = kept.keep(named if found is None else found.withColumnRenamed("label", "inner").join(named.withColumnRenamed("node", "inner"), "inner").select("node", "label"))
+        a, b = named.select(F.col("node").alias("src"), F.col("label").alias("a")), named.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        links = kept.keep(links.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst"), "g").agg(F.sum("w").alias("w")))
+        if q <= start + 1e-6:
+            break
+    out = connected(base, found)
+    for r in (rounds, kept):
+        r.clear()
+    return out
+
+
+def connected(links: DataFrame, labels: DataFrame, bound: int = 1000) -> DataFrame:
+    """``(node, label)``: the parts of each community that links inside it connect, named by their least node."""
+    a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+    inside = cut(links.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
+    rounds = Rounds(links.sparkSession)
+    part = rounds.keep(labels.select("node", F.col("node").alias("label")))
+    for _ in range(bound):
+        near = inside.join(part.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
+        # The least label around, and then that label's own: paths halve.
+        step = part.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
+        over = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = rounds.keep(step.join(over, "label").select("node", F.least("label", "far").alias("label"), "was"))
+        if new.where("label <> was").isEmpty():
+            return rounds.done(new.select("node", "label"))
+        part = new.select("node", "label")
+    raise RuntimeError(f"parts did not settle in {bound} rounds")
+
+
+def communities(adj: DataFrame, max_size: int) -> DataFrame:
+    """``(level, cluster_id, node)``: level 0 is the partition by modularity; the nodes of a cluster above ``max_size`` are
+    partitioned again on the next level, by links inside the cluster, until nothing splits.
+
+    A cluster's id is the id of the one it is part of and its least node.  A cluster that no longer splits stays as large as
+    it is, as no part of it has more links inside than chance would give."""
+    level = partition(adj).select(F.lit(0).alias("level"), F.col("label").alias("cluster_id"), "node")
     found = level = cut(level)
-    for k in range(1, max_levels + 1):
+    k = 0
+    while True:
         sizes = level.groupBy("cluster_id").count().where(F.col("count") > max_size)
-        large = level.join(sizes, "cluster_id")
+        large = cut(level.join(sizes, "cluster_id"))
         if large.isEmpty():
-            break
-        if k < max_levels:
-            inner = label_propagation(adj, rounds, large.select("node", "cluster_id")).withColumnRenamed("label", "part")
-            part = large.join(inner, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        else:
-            part = large.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / max_size)).cast("string"))
-        level = cut(part.select(F.lit(k).alias("level"), F.xxhash64(F.lit(k), "cluster_id", "part").alias("cluster_id"), "node"))
+            return found
+        k += 1
+        part = large.join(partition(adj, large.select("node", "cluster_id")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        split = part.groupBy("cluster_id").agg(F.count_distinct("label").alias("parts")).where("parts > 1").select("cluster_id")
+        level = cut(part.join(split, "cluster_id").select(F.lit(k).alias("level"), F.concat_ws("/", "cluster_id", "label").alias("cluster_id"), "node"))
         found = found.unionByName(level)
-    return found
 
 
 def community_tree(coms: DataFrame) -> DataFrame:

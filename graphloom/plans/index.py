@@ -1,43 +1,96 @@
-"""Text -> graph: windows, mentions, entities, edges, adjacency, vectors."""
+"""Text -> graph: windows, mentions, entities, edges, adjacency; then vectors, communities and summaries; and their store."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom import models
-from graphloom.operators import extract, graph
+from graphloom.functions.vectors import usable
+from graphloom.models import OFFLINE, Provider
+from graphloom.operators import extract, graph, packing
+from graphloom.storage import cut
 
 
 @dataclass
 class Graph:
+    """The tables of an index; the last three are there once ``complete`` has made them."""
+
     entities: DataFrame
     relations: DataFrame
     adjacency: DataFrame
+    vectors: DataFrame | None = None
+    communities: DataFrame | None = None
+    summaries: DataFrame | None = None
 
 
-def mentions(docs: DataFrame, width: int | None = None) -> tuple[DataFrame, DataFrame]:
-    wins = extract.windows(docs)
-    return extract.window_entities(wins, width), extract.window_relations(wins, width)
+def mentions(docs: DataFrame, provider: Provider = OFFLINE) -> tuple[DataFrame, DataFrame]:
+    """Entity and relation mentions.  What the provider finds in a window is kept, as both are made of it and a model
+    isn't to be asked twice."""
+    named = cut(extract.named_windows(extract.windows(docs), provider))
+    return extract.window_entities(named), extract.window_relations(named, provider)
 
 
-def merged(docs: DataFrame, width: int | None = None) -> tuple[DataFrame, DataFrame]:
-    e, r = mentions(docs, width)
+def merged(docs: DataFrame, provider: Provider = OFFLINE) -> tuple[DataFrame, DataFrame]:
+    e, r = mentions(docs, provider)
     entities = extract.merge_entities(e)
     return entities, extract.merge_relations(r, entities)
 
 
-def build(docs: DataFrame, width: int | None = None) -> Graph:
-    """The graph of a corpus; its tables are materialised, since every search reads them."""
-    e, r = merged(docs, width)
-    entities = graph.cut(graph.global_entities(e))
-    relations = graph.cut(graph.final_relations(graph.undirected_edges(r), entities))
-    return Graph(entities, relations, graph.cut(graph.adjacency(relations)))
+def build(docs: DataFrame, provider: Provider = OFFLINE, chunk_size: int | None = None, overlap: int = 20) -> Graph:
+    """The graph of a corpus ``(doc_id, text)``; its tables are materialised, since every search reads them.
+
+    A document is a chunk, or with ``chunk_size`` is cut into chunks of so many words with ``overlap`` words in common."""
+    e, r = merged(docs if chunk_size is None else extract.chunked(docs, chunk_size, overlap), provider)
+    entities = cut(graph.global_entities(e))
+    relations = cut(graph.final_relations(graph.undirected_edges(r), entities))
+    return Graph(entities, relations, cut(graph.adjacency(relations)))
 
 
-def node_vectors(entities: DataFrame) -> DataFrame:
-    """``(node, v)``: vectors of "name. description"; nodes whose vector is zero are left out."""
+def node_vectors(entities: DataFrame, provider: Provider = OFFLINE) -> DataFrame:
+    """``(node, v)``: vectors of "name. description"; nodes whose vector is zero or not a number are left out."""
     text = F.concat("name", F.lit(". "), F.coalesce("entity_description", F.lit("")))
-    return entities.select(F.col("name").alias("node"), models.embedder(text).alias("v")).where(F.exists("v", lambda x: x > 0))
+    return entities.select(F.col("name").alias("node"), provider.embed(text).alias("v")).where(usable(F.col("v")))
+
+
+def communities_of(g: Graph) -> DataFrame:
+    size = graph.cluster_size(graph.graph_stats(g.entities, g.adjacency)).first()["max_cluster_size"]
+    return cut(graph.communities(g.adjacency, size))
+
+
+def community_summaries(g: Graph, coms: DataFrame, limit: int = 11_000, provider: Provider = OFFLINE) -> DataFrame:
+    """``(cluster_id, summary)``: leaves from their elements, then each level upwards from child summaries and elements."""
+    tree = cut(graph.community_tree(coms))
+    parts = cut(graph.elements(coms, g.entities, g.adjacency).select("cluster_id", F.concat_ws("|", F.lit("1"), F.col("kind"), "src", "dst").alias("ord"), "text"))
+    levels = [r["level"] for r in coms.select("level").distinct().orderBy(F.desc("level")).collect()]  # a handful
+    done = None
+    for level in levels:
+        own = parts.join(coms.where(F.col("level") == level).select("cluster_id").distinct(), "cluster_id", "left_semi")
+        if done is not None:
+            below = tree.join(done.withColumnRenamed("cluster_id", "child"), "child").where("summary <> ''")
+            own = own.unionByName(below.select(F.col("parent").alias("cluster_id"), F.concat(F.lit("0|"), F.col("child")).alias("ord"), F.col("summary").alias("text")))
+        new = packing.reduce_texts(own, limit, provider.summarise, count_tokens=provider.count_tokens)
+        done = new if done is None else done.unionByName(new)
+    return cut(done)
+
+
+def complete(g: Graph, provider: Provider = OFFLINE, limit: int = 11_000) -> Graph:
+    """The graph with what searches read beside it: node vectors, communities and their summaries."""
+    vectors = g.vectors if g.vectors is not None else cut(node_vectors(g.entities, provider))
+    coms = g.communities if g.communities is not None else communities_of(g)
+    summaries = g.summaries if g.summaries is not None else community_summaries(g, coms, limit, provider)
+    return Graph(g.entities, g.relations, g.adjacency, vectors, coms, summaries)
+
+
+def store(g: Graph, folder: str) -> None:
+    """Write every table that is there as Parquet below a folder."""
+    for f in fields(g):
+        if (df := getattr(g, f.name)) is not None:
+            df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
+
+
+def opened(spark: SparkSession, folder: str, only: tuple[str, ...] = ("vectors", "communities", "summaries")) -> Graph:
+    """A stored graph; of the last three tables those in ``only`` must be there."""
+    names = ["entities", "relations", "adjacency", *only]
+    return Graph(**{name: spark.read.parquet(f"{folder}/{name}") for name in names})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,7 @@ from graphloom.operators import evaluate, extract, graph, packing, search
 from graphloom.plans import index
 from graphloom.plans import search as routes
 from graphloom.sources import datasets, graph_json
-
-#: The SQL of ``oracles`` takes so many characters of a window as its description; queries with SQL follow it.
-SQL_WIDTH = 40
+from graphloom.storage import cut, remove, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,8 +33,33 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
+#: The index of a folder, built once in a session: what a stored index is between sessions.
+BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in BUILT:
+        BUILT[key] = make()
+    return BUILT[key]
+
+
 def built(spark: SparkSession, sf_dir: str) -> index.Graph:
-    return index.build(docs(spark, sf_dir))
+    return once(spark, sf_dir, "graph", lambda: index.build(docs(spark, sf_dir)))
+
+
+def whole(spark: SparkSession, sf_dir: str) -> index.Graph:
+    """The index with vectors, communities and summaries."""
+    return once(spark, sf_dir, "whole", lambda: index.complete(_with(spark, sf_dir, "communities")))
+
+
+def _with(spark: SparkSession, sf_dir: str, part: str) -> index.Graph:
+    g = built(spark, sf_dir)
+    made = {"vectors": lambda: cut(index.node_vectors(g.entities)), "communities": lambda: index.communities_of(g)}
+    for name in ("vectors", part):
+        if getattr(g, name) is None:
+            setattr(g, name, made[name]())
+    return g
 
 
 def sentence_windows(spark, d):
@@ -47,23 +71,23 @@ def document_chunks(spark, d):
 
 
 def window_entities(spark, d):
-    return index.mentions(docs(spark, d), SQL_WIDTH)[0]
+    return index.mentions(docs(spark, d))[0]
 
 
 def window_relations(spark, d):
-    return index.mentions(docs(spark, d), SQL_WIDTH)[1]
+    return index.mentions(docs(spark, d))[1]
 
 
 def chunk_entity_merge(spark, d):
-    return index.merged(docs(spark, d), SQL_WIDTH)[0]
+    return index.merged(docs(spark, d))[0]
 
 
 def chunk_relation_merge(spark, d):
-    return index.merged(docs(spark, d), SQL_WIDTH)[1]
+    return index.merged(docs(spark, d))[1]
 
 
 def extraction_stats(spark, d):
-    return extract.extraction_stats(*index.mentions(docs(spark, d), SQL_WIDTH))
+    return extract.extraction_stats(*index.mentions(docs(spark, d)))
 
 
 def entity_canon(spark, d):
@@ -72,7 +96,7 @@ def entity_canon(spark, d):
 
 
 def _names(spark, d):
-    names = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(extract.CAPITALISED), F.lit(1)), lambda x: F.lower(x))))
+    names = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(models.NAMES), F.lit(1)), lambda x: F.lower(x))))
     return extract.windows(docs(spark, d)).select("doc_id", "win_idx", names.alias("names"))
 
 
@@ -88,11 +112,11 @@ def parse_relation_blocks(spark, d):
 
 
 def global_entities(spark, d):
-    return graph.global_entities(index.merged(docs(spark, d), SQL_WIDTH)[0])
+    return graph.global_entities(index.merged(docs(spark, d))[0])
 
 
 def undirected_edges(spark, d):
-    return graph.undirected_edges(index.merged(docs(spark, d), SQL_WIDTH)[1])
+    return graph.undirected_edges(index.merged(docs(spark, d))[1])
 
 
 def star_edges(spark, d):
@@ -107,8 +131,32 @@ def edge_label_groups(spark, d):
     return graph.label_groups(undirected_edges(spark, d))
 
 
+def edge_label_members(spark, d):
+    return graph.label_members(undirected_edges(spark, d))
+
+
+def entity_type_counts(spark, d):
+    """How many entities of each type: the counts that a build reports."""
+    return graph.counts(built(spark, d).entities, "label")
+
+
+def entity_descriptions(spark, d):
+    return graph.entity_descriptions(index.merged(docs(spark, d))[0])
+
+
+def star_expand(spark, d):
+    """Three hops from every nation over the graph of customers, nations and order priorities, customers of one segment
+    being closed."""
+    edges = star_edges(spark, d)
+    adj = graph.adjacency(edges.select("label", F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.col("descr").alias("relationship_description")))
+    starts = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("question_id"), F.lower("n_name").alias("node"), F.lit(1).alias("rank"))
+    closed = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.lower("c_name").alias("node"))
+    nodes, _ = search.expand(starts, adj, lambda pairs: pairs.join(closed, "node", "left_anti"))
+    return nodes.select("question_id", "node", "hop")
+
+
 def final_relations(spark, d):
-    e, r = index.merged(docs(spark, d), SQL_WIDTH)
+    e, r = index.merged(docs(spark, d))
     return graph.final_relations(graph.undirected_edges(r), graph.global_entities(e))
 
 
@@ -129,25 +177,41 @@ def label_propagation(spark, d):
     return graph.label_propagation(adjacency(spark, d))
 
 
-def _communities(spark, d):
-    g = built(spark, d)
-    size = graph.cluster_size(graph.graph_stats(g.entities, g.adjacency)).first()["max_cluster_size"]
-    return g, graph.communities(g.adjacency, size)
+def hierarchical_communities(spark, d):
+    return _with(spark, d, "communities").communities
 
 
-def hierarchical_communities(spark, d):
-    return _communities(spark, d)[1]
+def community_counts(spark, d):
+    """How many clusters and nodes each level has."""
+    return hierarchical_communities(spark, d).groupBy("level").agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("nodes"))
 
 
 def community_tree(spark, d):
-    return graph.community_tree(_communities(spark, d)[1])
+    return graph.community_tree(hierarchical_communities(spark, d))
 
 
 def leaf_communities(spark, d):
-    coms = _communities(spark, d)[1]
+    coms = hierarchical_communities(spark, d)
     return graph.leaf_communities(coms, graph.community_tree(coms))
 
 
+def label_tree(spark, d):
+    """Parents and children of a hierarchy that SQL can state: labels of propagation, parted by their nodes' initials."""
+    return graph.community_tree(_initials(spark, d))
+
+
+def label_leaves(spark, d):
+    coms = _initials(spark, d)
+    return graph.leaf_communities(coms, graph.community_tree(coms))
+
+
+def _initials(spark, d):
+    labels = cut(graph.label_propagation(built(spark, d).adjacency))
+    large = labels.join(labels.groupBy("label").count().where("count > 20").select("label"), "label")
+    part = F.concat_ws("/", "label", F.substring("node", 1, 1))
+    return labels.select(F.lit(0).alias("level"), F.col("label").alias("cluster_id"), "node").unionByName(large.select(F.lit(1).alias("level"), part.alias("cluster_id"), "node"))
+
+
 def community_elements(spark, d):
     g = built(spark, d)
     labels = graph.label_propagation(g.adjacency)
@@ -156,10 +220,9 @@ def community_elements(spark, d):
 
 def token_pack(spark, d):
     """The documents of each source packed in order into packs of 2,000 words: (source, pack, documents, words)."""
-    rows = table(spark, d, "documents").select("source", "doc_id", T.count_tokens(F.col("text")).alias("n"))
-    lists = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("r")).select("source", F.col("r.n").alias("n"))
-    packed = lists.select("source", "n", F.posexplode(packing.packs(F.col("n"), 2000)).alias("pack", "of"))
-    return packed.select("source", "pack", F.size("of").alias("documents"), F.aggregate("of", F.lit(0), lambda s, i: s + F.get("n", i)).alias("words"))
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), T.count_tokens(F.col("text")).alias("n"))
+    packed = packing.pack_rows(rows, 2000, "source")
+    return packed.groupBy("source", "chunk", "pack").agg(F.count("*").alias("documents"), F.sum("n").alias("words"))
 
 
 def budget_prefix(spark, d):
@@ -181,20 +244,22 @@ def _centroids(vectors):
 
 
 def cosine_topk(spark, d):
-    v = graph.cut(_unit_vectors(spark, d))
+    v = cut(_unit_vectors(spark, d))
     found = search.top(search.similarities(_centroids(v), v.select("node", "v"), 10), 10)
     return found.select("question_id", "rank", F.col("node").alias("vec_id"), F.round("sim", 6).alias("sim"))
 
 
 def threshold_topk(spark, d):
-    v = graph.cut(_unit_vectors(spark, d))
-    found = search.top(search.similarities(_centroids(v), v.select("node", "v"), 10, 0.5), 10)
+    v = cut(_unit_vectors(spark, d))
+    found = search.top(search.similarities(_centroids(v), v.select("node", "v"), 10, 0.2), 10)
     return found.select("question_id", "rank", F.col("node").alias("vec_id"), F.round("sim", 6).alias("sim"))
 
 
 def zero_query_fallback(spark, d):
-    """A question without a vector takes the first 10 rows unscored."""
-    return _unit_vectors(spark, d).select(F.col("node").alias("vec_id")).orderBy("vec_id").limit(10)
+    """Of each label's centroid, half of them without a length, the nearest 10 rows: such a question takes the first 10."""
+    v = cut(_unit_vectors(spark, d))
+    qs = _centroids(v).withColumn("qv", F.when(F.col("question_id") % 2 == 0, F.col("qv")).otherwise(F.transform("qv", lambda x: x * 0.0)))
+    return routes.top_nodes(qs, v.select("node", "v"), v, 10).select("question_id", "rank", F.col("node").alias("vec_id"))
 
 
 def string_match(spark, d):
@@ -206,10 +271,9 @@ def string_match(spark, d):
 
 
 def _linked(spark, d):
-    g = built(spark, d)
-    vectors = graph.cut(index.node_vectors(g.entities))
+    g = _with(spark, d, "vectors")
     qs = routes.embedded(questions(spark, d))
-    return g, vectors, qs, graph.cut(routes.linked(qs, g, vectors))
+    return g, g.vectors, qs, cut(routes.linked(qs, g, g.vectors))
 
 
 def link_entities(spark, d):
@@ -218,8 +282,7 @@ def link_entities(spark, d):
 
 def _expanded(spark, d):
     g, vectors, qs, starts = _linked(spark, d)
-    admitted = search.similarities(qs.select("question_id", "qv"), vectors, None, 0.5).select("question_id", "node")
-    return g, qs, *search.expand(starts, g.adjacency, graph.cut(admitted))
+    return g, qs, *search.expand(starts, g.adjacency, search.similar_enough(qs, vectors, 0.5))
 
 
 def expand_hops(spark, d):
@@ -237,8 +300,8 @@ def evidence_topk(spark, d):
 
 def map_scores(spark, d):
     """Every user's turn as a question to the turn after it, through the map output's grammar."""
-    out = parse.map_output(models.map_response(F.col("gold"), F.col("answer")))
-    return _turns(spark, d).withColumn("o", out).select("id", "o.answer", "o.score")
+    out = parse.map_output(models.OFFLINE.map_response(F.col("gold"), F.col("answer")))
+    return _turns(spark, d).withColumn("o", out).select("id", "o.answer", F.col("o.score").cast("long").alias("score"))
 
 
 def final_parse(spark, d):
@@ -252,26 +315,20 @@ def judge_parse(spark, d):
 
 
 def local_search(spark, d):
-    return routes.local_search(questions(spark, d), built(spark, d))
-
-
-def _summaries(spark, d):
-    g, coms = _communities(spark, d)
-    return routes.community_summaries(g, coms)
+    return routes.local_search(questions(spark, d), _with(spark, d, "vectors"))
 
 
 def community_summaries(spark, d):
-    return _summaries(spark, d)
+    return whole(spark, d).summaries
 
 
 def global_search(spark, d):
-    return routes.global_search(questions(spark, d), _summaries(spark, d))
+    return routes.global_search(questions(spark, d), whole(spark, d).summaries)
 
 
 def final_answer(spark, d):
-    g, coms = _communities(spark, d)
-    qs = questions(spark, d)
-    return routes.final_answers(graph.cut(routes.local_search(qs, g)), graph.cut(routes.global_search(qs, routes.community_summaries(g, coms))))
+    g, qs = whole(spark, d), questions(spark, d)
+    return routes.final_answers(qs, cut(routes.local_search(qs, g)), cut(routes.global_search(qs, g.summaries)))
 
 
 def _turns(spark, d):
@@ -290,7 +347,7 @@ def token_f1(spark, d):
 
 
 def evaluation(spark, d):
-    out = evaluate.evaluate(_turns(spark, d))
+    out = evaluate.evaluate(_turns(spark, d).withColumn("question", F.col("gold")), provider=models.OFFLINE)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -322,10 +379,12 @@ def doc_build_2wiki(spark, d):
 
 
 def graph_json_roundtrip(spark, d):
-    g = index.build(docs(spark, d), SQL_WIDTH)
-    said = graph_json.relation_rows(g.relations).select(F.to_json(F.struct("*")).alias("j"))
-    read = said.select(F.from_json("j", graph_json.RELATION).alias("r")).select("r.*")
-    return read.select("id", "label", "source_id", "target_id", "properties.relationship_description")
+    g = built(spark, d)
+    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    graph_json.write(g.entities, g.relations, folder)
+    read = cut(graph_json.read(spark, folder)[1])
+    remove(spark, folder)
+    return read.withColumn("id", F.concat_ws("|", "source_id", "label", "target_id"))
 
 
 QUERIES: dict[str, Query] = {
@@ -333,7 +392,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         sentence_windows, document_chunks, window_entities, window_relations, chunk_entity_merge, chunk_relation_merge, extraction_stats,
         entity_canon, parse_entity_blocks, parse_relation_blocks, global_entities, undirected_edges, star_edges, edge_label_groups,
-        final_relations, adjacency, graph_stats, dynamic_cluster_size, label_propagation, hierarchical_communities, community_tree,
+        edge_label_members, entity_type_counts, entity_descriptions, star_expand, final_relations, adjacency, graph_stats, dynamic_cluster_size, label_propagation, hierarchical_communities, community_tree, community_counts, label_tree, label_leaves,
         leaf_communities, community_elements, token_pack, budget_prefix, cosine_topk, threshold_topk, zero_query_fallback, string_match,
         link_entities, expand_hops, expand_paths, evidence_topk, map_scores, final_parse, judge_parse, local_search, community_summaries,
         global_search, final_answer, answer_scores, token_f1, evaluation, stratified_sample, doc_build_hotpot, doc_build_musique,

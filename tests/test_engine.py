@@ -1,5 +1,7 @@
 """Operators of the retrieval engine on small inputs with known results."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -27,7 +29,8 @@ def test_canon(spark, raw, name):
 
 def test_sentences_keep_a_trailing_piece(spark):
     assert one(spark, "x. ", T.sentences) == ["x.", ""]
-    assert one(spark, "A b. C! D?\nE", T.windows) == ["A b. C!", "C! D?", "D? E", "E"]
+    docs = spark.createDataFrame([(1, "A b. C! D?\nE"), (2, None), (3, "")], "doc_id long, text string")
+    assert [r["text"] for r in extract.windows(docs).orderBy("win_idx").collect()] == ["A b. C!", "C! D?", "D? E", "E"]
 
 
 @pytest.mark.parametrize("raw,cut", [("a because b", "a"), ("C# is", "C"), ("plain", "plain"), ("x ``` y", "x")])
@@ -48,7 +51,7 @@ def test_relation_blocks(spark):
     assert one(spark, "NONE", parse.relations) == []
 
 
-@pytest.mark.parametrize("said,answer,score", [("ANSWER: yes \nSCORE: 90", "yes", 90), ("SCORE: 250", "insufficient information", 250), ("ANSWER: a\nSCORE: -3", "a", 0), ("", "insufficient information", 0), ("SCORE: " + "9" * 30, "insufficient information", 10**18)])
+@pytest.mark.parametrize("said,answer,score", [("ANSWER: yes \nSCORE: 90", "yes", 90), ("SCORE: 250", "insufficient information", 250), ("ANSWER: a\nSCORE: -3", "a", 0), ("", "insufficient information", 0), ("SCORE: " + "9" * 30, "insufficient information", 10**30 - 1), ("ANSWER:\u00a0\n x\nSCORE:\u00a07", "x", 7)])
 def test_map_output(spark, said, answer, score):
     assert tuple(one(spark, said, parse.map_output)) == (answer, score)
 
@@ -152,17 +155,61 @@ def test_chunks_hold_whole_sentences(spark):
     assert [c.split(".")[0] for c in got[1:]] == [c.rstrip(".").split(". ")[-1] for c in got[:-1]]
 
 
-def test_communities_nest_and_keep_the_bound(spark):
-    links = [(f"n{i}", f"n{j}") for i in range(30) for j in range(30) if i < j and i // 10 == j // 10] + [("n0", "n10"), ("n10", "n20")]
-    adj = spark.createDataFrame([(x, y, "r", "") for a, b in links for x, y in ((a, b), (b, a))], "src string, dst string, rel string, descr string")
-    coms = graph.communities(adj, 4).cache()
+def linked(spark, links):
+    return spark.createDataFrame([(x, y, "r", "") for a, b in links for x, y in ((a, b), (b, a))], "src string, dst string, rel string, descr string")
+
+
+def plain_modularity(links, label):
+    m = len(links)
+    degree = {}
+    for a, b in links:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    inside = sum(label[a] == label[b] for a, b in links) / m
+    return inside - sum((sum(d for n, d in degree.items() if label[n] == c) / (2 * m)) ** 2 for c in set(label.values()))
+
+
+def test_partition_finds_planted_communities(spark):
+    r = random.Random(5)
+    links = {tuple(sorted(r.sample(range(60), 2))) for _ in range(60)} | {(i, j) for i in range(60) for j in range(i) if i // 15 == j // 15 and r.random() < 0.6}
+    links = sorted({(f"n{max(x):02}", f"n{min(x):02}") for x in links})
+    got = {x["node"]: x["label"] for x in graph.partition(linked(spark, links)).collect()}
+    planted = {n: f"n{int(n[1:]) // 15 * 15:02}" for n in got}
+    assert plain_modularity(links, got) >= plain_modularity(links, planted) - 0.02 and 3 <= len(set(got.values())) <= 6
+    assert all(label == min(n for n in got if got[n] == label) for label in got.values())
+
+
+def test_communities_nest(spark):
+    """A ring of cliques, pairs of which modularity joins; on their own the pairs part again."""
+    size, n = 3, 24
+    links = [(f"n{i:03}", f"n{j:03}") for i in range(size * n) for j in range(i) if i // size == j // size] + [(f"n{size * k:03}", f"n{(size * k + size + 1) % (size * n):03}") for k in range(n)]
+    coms = graph.communities(linked(spark, links), size).cache()
     tree = graph.community_tree(coms)
-    levels = [r["level"] for r in coms.select("level").distinct().collect()]
-    assert coms.groupBy("level", "node").count().where("count > 1").isEmpty() and max(levels) > 0
+    sizes = {(x["level"], x["cluster_id"]): x["count"] for x in coms.groupBy("level", "cluster_id").count().collect()}
+    assert max(level for level, _ in sizes) > 0 and min(sizes.values()) >= 1
+    assert coms.groupBy("level", "node").count().where("count > 1").isEmpty()
     assert tree.groupBy("child").count().where("count > 1").isEmpty()
     leaves = graph.leaf_communities(coms, tree)
-    covered = coms.join(leaves, "cluster_id").select("node").distinct().count()
-    assert covered == 30
+    assert coms.join(leaves, "cluster_id").select("node").distinct().count() == size * n
+    assert coms.join(leaves, "cluster_id").groupBy("cluster_id").count().agg(F.max("count")).first()[0] == size
+
+
+def test_no_links_no_communities(spark):
+    none = spark.createDataFrame([], "src string, dst string, rel string, descr string")
+    assert graph.communities(none, 10).count() == 0 and graph.label_propagation(none).count() == 0
+
+
+def test_labels_settle(spark):
+    """On an even path labels take turns for ever; the smaller of two stays.  A star settles at once."""
+    path = [(f"p{i}", f"p{i + 1}") for i in range(5)]
+    neighbours = {}
+    for a, b in path:
+        neighbours.setdefault(a, []).append(b)
+        neighbours.setdefault(b, []).append(a)
+    states = [{n: n for n in neighbours}]
+    while len(states) < 3 or states[-1] not in (states[-2], states[-3]):
+        states.append({n: min((-[states[-1][m] for m in ms].count(states[-1][x]), states[-1][x]) for x in ms)[1] for n, ms in neighbours.items()})
+    expected = {n: min(states[-1][n], states[-2][n]) for n in neighbours}
+    assert {x["node"]: x["label"] for x in graph.label_propagation(linked(spark, path)).collect()} == expected
 
 
 def test_datasets(spark):
@@ -187,6 +234,8 @@ def test_graph_through_json(spark, tmp_path):
     entities, relations = graph_json.read(spark, str(tmp_path / "g"))
     assert sorted(map(tuple, entities.collect())) == sorted(map(tuple, g.entities.select(entities.columns).collect()))
     assert sorted(map(tuple, relations.collect())) == sorted(map(tuple, g.relations.select(relations.columns).collect()))
+    members = {tuple(r) for r in graph_json.read_members(spark, str(tmp_path / "g")).collect()}
+    assert members == {tuple(r) for r in g.relations.select("label", "source_id", "target_id").collect()}
     whole = tmp_path / "one.json"
     whole.write_text('{"entities": [{"id": "other", "name": "x", "label": "L", "properties": {"entity_description": "d"}}],\n "relations": [{"id": "r", "label": "l", "source_id": "x", "target_id": "x", "properties": {"relationship_description": "e"}}]}')
     a, b = graph_json.read_object(spark, str(whole))
@@ -206,4 +255,4 @@ def test_streamed_mentions(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     write_mentions(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, extract.merge_entities(extract.window_entities(extract.windows(docs))).collect()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, extract.merge_entities(extract.window_entities(extract.named_windows(extract.windows(docs)))).collect()))
