@@ -95,9 +95,9 @@ class Provider:
     """A text model with its prompts and parsers, an embedder and a token counter.
 
     ``attempts`` and ``question_attempts`` say how often a model is asked again that named no entity of a window or of a
-    question (see ``plans``)."""
+    question (see ``plans``); what a ``costly`` provider said is kept rather than asked for twice."""
 
-    attempts, question_attempts = 2, 5
+    attempts, question_attempts, costly = 2, 5, True
 
     def __init__(self, generate: TextModel, embed: Embedder = embed, count_tokens: TokenCounter = T.count_tokens, prompts: Prompts = Prompts(), parse_entities: Parser = parse.entities, parse_relations: Parser = parse.relations):
         self.generate, self.embed, self.count_tokens, self.prompts = generate, embed, count_tokens, prompts
@@ -187,7 +187,7 @@ class Offline(Provider):
     them.  ``entities`` and ``relations`` give what the parsers make of the responses, without printing and parsing them.
     """
 
-    attempts, question_attempts = 1, 1
+    attempts, question_attempts, costly = 1, 1, False
 
     def __init__(self, embed: Embedder = embed, count_tokens: TokenCounter = T.count_tokens):
         super().__init__(lambda prompt: prompt, embed, count_tokens)

@@ -65,7 +65,8 @@ def window_entities(named: DataFrame) -> DataFrame:
     """``(doc_id, win_idx, name, etype, descr)``: each name and type once per window, the first description of several."""
     each = F.transform("found", lambda e: F.struct(T.strip(e["name"]).alias("name"), T.strip(e["etype"]).alias("etype"), T.strip(e["descr"]).alias("descr")))
     keys = F.transform("each", lambda e: F.struct(e["name"], e["etype"]))
-    once = F.filter("each", lambda e, i: F.array_position(F.col("keys"), F.struct(e["name"], e["etype"])) == i + 1)
+    first = F.filter("each", lambda e, i: F.array_position(F.col("keys"), F.struct(e["name"], e["etype"])) == i + 1)
+    once = F.when(F.size(F.array_distinct("keys")) < F.size("keys"), first).otherwise(F.col("each"))
     return named.select("doc_id", "win_idx", each.alias("each")).withColumn("keys", keys).select("doc_id", "win_idx", F.inline(once))
 
 

@@ -26,10 +26,11 @@ class Graph:
 
 
 def mentions(docs: DataFrame, provider: Provider = OFFLINE) -> tuple[DataFrame, DataFrame]:
-    """Entity and relation mentions.  What the provider finds in a window is kept, as both are made of it and a model
-    isn't to be asked twice."""
-    named = cut(extract.named_windows(extract.windows(docs), provider))
-    return extract.window_entities(named), extract.window_relations(named, provider)
+    """Entity and relation mentions, both made of what the provider finds in a window."""
+    named = extract.named_windows(extract.windows(docs), provider)
+    named = cut(named) if provider.costly else named
+    relations = extract.window_relations(named, provider)
+    return extract.window_entities(named), cut(relations) if provider.costly else relations
 
 
 def merged(docs: DataFrame, provider: Provider = OFFLINE) -> tuple[DataFrame, DataFrame]:
