@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import encoder, portions
-from graphloom.llm.shared import cut
+from graphloom.llm.shared import cut, lean, slices
 
 MAGIC = b"TPF1"
 BLOCK = 1024
@@ -200,7 +200,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             store.move(f"{root}/{name}", target)
             made.append((task.partitionId(), len(made), f"{folder}/{final}", len(writer.ids), writer.n_tokens, size))
 
-        for b in batches:
+        for b in slices(batches, 1, 8 << 20):
             texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
             for i, j in portions(texts):
                 for doc_id, raw in zip(ids[i:j], enc.ids(texts[i:j])):
@@ -217,7 +217,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "seq", "path", "n_docs", "n_tokens", "bytes"])
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
-    return cut(ordered.mapInArrow(run, MANIFEST))
+    return cut(ordered.mapInArrow(lean(run), MANIFEST))
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 yield _batch(rows)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(tasks, "path").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
