@@ -25,16 +25,17 @@ class Graph:
     summaries: DataFrame | None = None
 
 
-def mentions(docs: DataFrame, provider: Provider = OFFLINE) -> tuple[DataFrame, DataFrame]:
-    """Entity and relation mentions, both made of what the provider finds in a window."""
+def mentions(docs: DataFrame, provider: Provider = OFFLINE, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Entity and relation mentions, both made of what the provider finds in a window; to ``keep`` that saves finding it
+    twice where both are read."""
     named = extract.named_windows(extract.windows(docs), provider)
-    named = cut(named) if provider.costly else named
+    named = cut(named) if keep or provider.costly else named
     relations = extract.window_relations(named, provider)
     return extract.window_entities(named), cut(relations) if provider.costly else relations
 
 
 def merged(docs: DataFrame, provider: Provider = OFFLINE) -> tuple[DataFrame, DataFrame]:
-    e, r = mentions(docs, provider)
+    e, r = mentions(docs, provider, True)
     entities = extract.merge_entities(e)
     return entities, extract.merge_relations(r, entities)
 

@@ -295,7 +295,7 @@ def expand_paths(spark, d):
 
 def evidence_topk(spark, d):
     g, qs, nodes, edges = _expanded(spark, d)
-    return routes.evidence_top(qs, search.evidence(nodes, edges, g.entities)).select("question_id", "rank", "kind", "text", F.round("sim", 6).alias("sim"))
+    return routes.evidence_top(qs, nodes, edges, g).select("question_id", "rank", "kind", "text", F.round("sim", 6).alias("sim"))
 
 
 def map_scores(spark, d):
