@@ -152,17 +152,9 @@ def test_pipeline(spark):
         now = {x["doc_id"]: x["text"] for x in docs.collect()}
         assert set(now) <= set(kept)
         if name == "near_copies":
-            from graphloom.llm.simhash import fingerprint
-
-            ids, prints = sorted(kept), {i: fingerprint(kept[i]) for i in kept}
-            root = {i: i for i in ids}
-            for _ in ids:
-                before = dict(root)
-                for i in ids:
-                    root[i] = min(root[j] for j in ids if (prints[i] ^ prints[j]).bit_count() <= 2)
-                if root == before:
-                    break
-            assert set(now) == {i for i in ids if root[i] == i}
+            from tests.llm.test_near_copies import greedy
+
+            assert set(now) == set(greedy(sorted(kept.items())))
         if name == "repeated_lines":
             from tests.llm.test_dedup import brute_force
 
