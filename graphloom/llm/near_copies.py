@@ -1,9 +1,10 @@
-"""Near copies by the likeness of their shingle sets: of every group one document stays.
+"""Near copies by SimHash and the likeness of shingle sets: of every group one document stays.
 
-Two texts are near copies if the Jaccard likeness of their sets of 5-word shingles is 0.8 or more.  Candidates come from
-MinHash: 48 bands of 8 minima, so a pair of likeness s meets in no band with probability (1 - s^8)^48, 1.5e-4 at 0.8.  (The
-covering masks of ``simhash`` never miss, but near copies differ in up to about 11 bits of a fingerprint, which would take
-2^12 - 1 tables.)  Documents linked by bands form a candidate group.  The texts of a group stream through one task in the
+Two texts are near copies if the Jaccard likeness of their sets of 5-word shingles is 0.8 or more.  Candidates are texts
+that SimHash links, by fingerprints of those shingles at two or fewer differing bits, as ``simhash`` finds and links them.
+Near copies differ in up to about 11 bits, and covering masks for these would take 2^12 - 1 tables, so further candidates
+come from MinHash: 48 bands of 8 minima, so a pair of likeness s meets in no band with probability (1 - s^8)^48, 1.5e-4 at
+0.8.  Documents linked by either form a candidate group.  The texts of a group stream through one task in the
 order of their ids, and a text stays unless one that stayed before it is its near copy by exact comparison.  So no two
 texts that stay in a group are near copies, and everything that goes has a near copy that stays.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
 from graphloom.llm.shared import cut, free_name, lean, slices
-from graphloom.llm.simhash import _LOWER
+from graphloom.llm.simhash import _LOWER, fingerprint, near_links
 
 BANDS, ROWS = 48, 8
 _RANDOM = np.random.default_rng(42)
@@ -74,22 +75,34 @@ class Kept:
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(doc_id, text_hash, node, bands)``; texts of the same words are one node."""
+    """``(doc_id, text_hash, node, fp, bands)``; texts of the same words are one node, fp is their SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for text in b.column(2).to_pylist():
                 words = normal_words(text)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                prints.append(fingerprint(text, size))
                 keys.append(bands(shingle_set(words, size)))
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints))
             flat = pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(range(0, len(nodes) * BANDS + 1, BANDS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, lists], ["doc_id", "text_hash", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, fp, lists], ["doc_id", "text_hash", "node", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string")).where("doc_id is not null")
-    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, node long, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, node long, fp long, bands array<long>")
+
+
+def candidates(marks: DataFrame) -> DataFrame:
+    """``marks (node, fp, bands)`` -> links ``(a, b)`` between nodes that SimHash links or that have a band in common."""
+    prints = marks.select("node", "fp").distinct()
+    reps = cut(prints.groupBy("fp").agg(F.min("node").alias("rep")))
+    equal = prints.join(reps, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    keys = marks.select("node", F.explode("bands").alias("key"))
+    met = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
+    banded = keys.join(cut(met), "key").select("a", F.col("node").alias("b"))
+    return near_links(reps).unionByName(equal).unionByName(banded).where("a <> b").distinct()
 
 
 def _gone(groups: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -116,9 +129,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """``(doc_id, text_hash, n)`` of the documents that stay; text_hash is Spark's xxhash64 of the text, n the rows that have both."""
     marks = cut(_marks(docs, id_col, text_col, size))
     nodes = marks.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    keys = marks.select("node", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
-    found = components(keys.join(cut(met), "key").select("a", F.col("node").alias("b")).where("a <> b").distinct())
+    found = components(candidates(marks))
     alike = nodes.join(found, "node").select("component", "node", "first")
     own = (F.col("first.doc_id") == F.col("id")) & (F.col("first.text_hash") == F.col("hash"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("string").alias("text"))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from graphloom.llm import near_copies
+from graphloom.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -71,3 +71,16 @@ def test_one_of_repeated_rows_stays(spark):
     rows = [(1, "one text of a few words", "en")] * 3 + [(2, "another text of other words", "de")] * 2 + [(None, "no id", "en")] * 2
     kept = near_copies.keep_one(spark.createDataFrame(rows, DOCS))
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[3], rows[5], rows[6]]))
+
+
+def test_simhash_links_are_candidates(spark):
+    """Fingerprints at two or fewer differing bits link texts that have no band in common, and the exact check follows."""
+    a = 0x0123456789ABCDEF
+    rows = [(1, a, [10]), (2, a ^ 0b11, [20]), (3, a ^ 0b111 << 40, [30]), (4, a, [40]), (5, 77, [30])]
+    marks = spark.createDataFrame(rows, "node long, fp long, bands array<long>")
+    found = {x["node"]: x["component"] for x in near_copies.components(near_copies.candidates(marks)).collect()}
+    assert found == {1: 1, 2: 1, 4: 1, 3: 3, 5: 3}
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, "en"), (2, "other words are here for this one", "en")], DOCS)
+    made = {x["doc_id"]: x["fp"] for x in near_copies._marks(docs, "doc_id", "text", 5).collect()}
+    assert made == {x["doc_id"]: simhash.fingerprint(x["text"], 5) - (1 << 64) * (simhash.fingerprint(x["text"], 5) >> 63) for x in docs.collect()}
