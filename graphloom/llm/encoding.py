@@ -17,9 +17,13 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-WORD = re.compile(rf"([\n\0]?)([{LETTERS}]+)([,.;:!?]*)")
+MARKS = ",.;:!?"
+WORD = re.compile(rf"[\n\0]?[{LETTERS}]+")
+STEM = rf"^[\n\x00]?[{LETTERS}]+$"
 #: White space of Unicode, and what Python takes for it, other than space and line feed.
 OTHER_SPACE = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 RUNS = ["  ", " \n", "\n ", "\n\n"]
@@ -29,7 +33,7 @@ JOINED = 2048
 class Encoder:
     """``ids(texts)``: for each text its ids, as the bytes of little-endian integers of ``dtype``."""
 
-    def __init__(self, path: str, keep: int = 450_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,7 +50,9 @@ class Encoder:
             self.begins[i] = token.startswith("Ġ")
             self.ends[i] = token.endswith("</w>")
         self.feed = vocabulary.get("Ċ", -1)
-        self.keep, self.table, self.older = keep, {}, {}
+        # Pieces, how many ids each has, their ids one after another, and when each was used.
+        self.keep, self.table, self.clock = keep, pa.array([], pa.large_string()), 0
+        self.sizes, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, self.dtype), np.zeros(0, np.int64)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -74,50 +80,89 @@ class Encoder:
             out += [raw[a:b] for a, b in zip((starts * width).tolist(), (stops * width).tolist())]
         return out
 
-    def _learn(self, unknown: set[str]) -> None:
-        """Enter pieces into the table.  A piece stands for itself after a space, or after nothing if it begins with a
-        line feed or "\\0"; without a byte-level tokenizer, spaces have no ids and both are the same."""
-        table, older, match = self.table, self.older, WORD.fullmatch
-        spaced, plain, bare, glued, rest = self.byte_level, [], [], [], []
-        for p in unknown:
-            if (ids := older.get(p)) is not None:
-                table[p] = ids
-            elif (m := match(p)) is None:
+    def _learned(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces without their marks.  A piece stands for itself after a space, or after nothing if it begins
+        with a line feed or "\\0"; without a byte-level tokenizer, spaces have no ids and both are the same."""
+        spaced, match = self.byte_level, WORD.fullmatch
+        plain, bare, fed, rest = [], [], [], []
+        for p in pieces:
+            if match(p) is None:
                 rest.append(p)
-            elif m.end(2) == len(p):
-                if p[0] == "\n":
-                    glued.append((p, "\n", "\0" + p[1:], ""))
-                else:
-                    (bare if p[0] == "\0" else plain).append(p)
             else:
-                lead, word, after = m.groups()
-                glued.append((p, lead if lead == "\n" else "", "\0" + word if lead else word, after))
-        for _, _, base, _ in glued:
-            if base not in table:
-                if (ids := older.get(base)) is not None:
-                    table[base] = ids
-                else:
-                    table[base] = b""  # so that it is listed once
-                    (bare if base[0] == "\0" else plain).append(base)
-        plain, bare = list(dict.fromkeys(plain)), list(dict.fromkeys(bare))
-        table.update(zip(plain, self._runs_of_letters(plain, " ")))
-        table.update(zip(bare, self._runs_of_letters([p[1:] for p in bare], "\n" if spaced else " ")))
-        marks = list({x for _, lead, _, after in glued for x in (lead, after) if x})
-        of_mark = dict(zip(marks, self._library(marks)))
-        of_mark[""] = b""
-        for p, lead, base, after in glued:
-            table[p] = of_mark[lead] + table[base] + of_mark[after]
-        table.update(zip(rest, self._library([p[1:] if p[0] == "\0" else " " + p if spaced and p[0] != "\n" else p for p in rest])))
-
-    def _pieces(self, text: str) -> list[str] | None:
+                (fed if p[0] == "\n" else bare if p[0] == "\0" else plain).append(p)
+        bare = list(dict.fromkeys([*bare, *("\0" + p[1:] for p in fed)]))
+        of = dict(zip(plain, self._runs_of_letters(plain, " ")))
+        of.update(zip(bare, self._runs_of_letters([p[1:] for p in bare], "\n" if spaced else " ")))
+        if fed:
+            feed = self._library(["\n"])[0]
+            of.update((p, feed + of["\0" + p[1:]]) for p in fed)
+        of.update(zip(rest, self._library([p[1:] if p[:1] == "\0" else " " + p if spaced and p[:1] != "\n" else p for p in rest])))
+        return [of[p] for p in pieces]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand in the table, which learns those it lacks."""
+        found = pc.index_in(pieces, value_set=self.table)
+        unknown = pieces.filter(found.is_null())
+        if len(unknown):
+            found = found.to_numpy(zero_copy_only=False)
+            found[np.isnan(found)] = np.arange(len(self.table), len(self.table) + len(unknown))
+            new = self._learned(unknown.to_pylist())
+            self.table = pa.concat_arrays([self.table, unknown])
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(new), self.dtype))
+            self.sizes = np.append(self.sizes, np.fromiter(map(len, new), np.int64, len(new)) // self.dtype.itemsize)
+            self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        self.clock += 1
+        found = np.asarray(found).astype(np.int64)
+        self.used[found] = self.clock
+        return found
+
+    def _forget(self) -> None:
+        """Keep the half of a full table that was used last."""
+        if len(self.table) > self.keep:
+            order = np.sort(np.argsort(-self.used, kind="stable")[: self.keep // 2])
+            self.table, self.used = self.table.take(pa.array(order)), self.used[order]
+            self.flat, self.sizes = gathered(self.flat, self.sizes, order)
+
+    def _spaced(self, text: str) -> str | None:
+        """The text as pieces with a space between any two; none where their borders aren't certain."""
         if any(map(text.__contains__, OTHER_SPACE)):
             return None
         if self.words:
-            return text.split()
+            return text.replace("\n", " ")
         if any(map(text.__contains__, RUNS)) or text[0] in " \n" or text[-1] in " \n":
             return None
         # An empty piece would stand for a space of its own: RUNS has excluded it.
-        return ("\0" + text).replace("\n", " \n").split(" ")
+        return ("\0" + text).replace("\n", " \n")
+
+    def _of_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of pieces.  Each distinct piece of all of them is looked up once, the rest is gathering."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        each = split.flatten().dictionary_encode()
+        pieces = each.dictionary
+        # Marks come off runs of letters, so that a word has one entry whatever follows it.
+        stems = pc.utf8_rtrim(pieces, MARKS)
+        cut = pc.subtract(pc.binary_length(pieces), pc.binary_length(stems)).to_numpy()
+        marked = (cut > 0) & pc.match_substring_regex(stems, STEM).to_numpy(zero_copy_only=False)
+        bases = pc.if_else(pa.array(marked), stems, pieces).dictionary_encode()
+        places = self._places(bases.dictionary)
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 :][: len(pieces)]
+        raw = np.frombuffer(pieces.buffers()[2], np.uint8)
+        tails = {"": 0} | {m: k for k, m in enumerate(MARKS, 1)}
+        of_mark = np.zeros(256, np.int64)
+        of_mark[[ord(m) for m in MARKS]] = range(1, len(MARKS) + 1)
+        tail = np.where(marked, of_mark[raw[ends - 1]] if len(raw) else 0, 0)
+        for k in np.nonzero(marked & (cut > 1))[0].tolist():
+            tail[k] = tails.setdefault(raw[ends[k] - cut[k] : ends[k]].tobytes().decode(), len(tails))
+        known = [b"", *self._library([*tails][1:])]
+        flat = np.append(self.flat, np.frombuffer(b"".join(known), self.dtype))
+        sizes = np.append(self.sizes, np.array([len(x) // self.dtype.itemsize for x in known]))
+        both = np.stack([places[bases.indices.to_numpy()], len(self.table) + tail], axis=1).ravel()
+        ids, sizes = gathered(flat, sizes, both)
+        sizes = sizes[0::2] + sizes[1::2]
+        ids, sizes = gathered(ids, sizes, each.indices.to_numpy())
+        at = (np.append(0, np.cumsum(sizes))[split.offsets.to_numpy()] * self.dtype.itemsize).tolist()
+        whole = memoryview(ids).cast("B")
+        return [bytes(whole[a:b]) for a, b in zip(at, at[1:])]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -125,31 +170,37 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            own = self._pieces(text) if (self.byte_level or self.words) and "\0" not in text else None
+            own = self._spaced(text) if (self.byte_level or self.words) and "\0" not in text else None
             if own is None:
                 whole.append(k)
             else:
                 pieces[k] = own
         for k, ids in zip(whole, self._library([texts[k] for k in whole])):
             out[k] = ids
-        unknown = set().union(*pieces.values()) - self.table.keys() if pieces else ()
-        if unknown:
-            self._learn(unknown)
-        get = self.table.__getitem__
-        for k, own in pieces.items():
-            out[k] = b"".join(map(get, own))
-        if len(self.table) > self.keep:
-            self.older, self.table = self.table, {}
+        if pieces:
+            for k, ids in zip(pieces, self._of_pieces(list(pieces.values()))):
+                out[k] = ids
+        self._forget()
         return out
 
 
+def gathered(values: np.ndarray, sizes: np.ndarray, order: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values``, which stand one after another and have these sizes, in another order; and the sizes in it."""
+    starts, own, out = np.cumsum(sizes) - sizes, sizes[order], []
+    for k in range(0, len(order), step):
+        n = own[k : k + step]
+        ends = np.cumsum(n)
+        out.append(values[np.arange(ends[-1]) + np.repeat(starts[order[k : k + step]] - (ends - n), n)])
+    return np.concatenate(out) if out else values[:0], own
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Encoder(path)
 
 
-def portions(texts: list[str | None], chars: int = 2_000_000):
+def portions(texts: list[str | None], chars: int = 8_000_000):
     """Ranges of the list of about so many characters, so that long texts don't pile up."""
     start, held = 0, 0
     for k, text in enumerate(texts):

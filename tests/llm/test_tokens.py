@@ -33,6 +33,19 @@ def test_encoder_equals_the_library(name):
     assert own.ids([None, ""]) == [b"", b""]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_learned_once_whatever_marks_follow_it(name):
+    own = encoding.Encoder(tokenizer_file(name), keep=6)
+    own.ids(["foo bar, bar. bar; bar! bar,.; foo?"])
+    assert len(own.table) <= 3  # foo at the start, after a space, and bar
+    learned, ask = [], own._library
+    own._library = lambda texts: learned.extend(texts) or ask(texts)
+    own.ids(["foo bar: bar... foo,"])
+    assert not [x for x in learned if "foo" in x or "bar" in x]
+    own.ids(["one two three four five six seven"])
+    assert len(own.table) <= 6
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=3000), st.floats(0.5, 1.0))
 @settings(max_examples=60, deadline=None)
 def test_blocks_round_trip(ids, percentile):
