@@ -1,4 +1,5 @@
 from graphloom import models
+from graphloom.functions import text as T
 from graphloom.plans import index
 
 DOCS = [
@@ -38,3 +39,9 @@ def test_a_window_is_put_on_one_line_once(spark):
     assert [x["name"] for x in got[0].found] == ["anna", "berta", "cairo", "nobody"]
     assert {x["descr"] for x in got[0].found} | {x["descr"] for x in got[0].r} == {DOCS[0][1]}
     assert len(got[0].r) == 6 and got[3].found == got[3].r == []
+
+
+def test_strip_takes_a_column_or_its_name(spark):
+    df = spark.createDataFrame([(1, " a b\u2003\n"), (2, "a b"), (3, ""), (4, "\t"), (5, None)], "k int, c string")
+    for c in (df.c, "c"):
+        assert [r[0] for r in df.orderBy("k").select(T.strip(c)).collect()] == ["a b", "a b", "", "", None]
