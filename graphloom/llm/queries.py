@@ -57,8 +57,7 @@ def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("row_key"), "text")
-    model = tokenizer_file("piece_bpe_32k.model")
-    sampled = segmentation.decode(segmentation.sample_segmentations(rows, model, k=3), model)
+    sampled = segmentation.sample_segmentations(rows, tokenizer_file("piece_bpe_32k.model"), k=3, out_col="decoded")
     return sampled.select(
         "row_key", "sample", F.size("ids").alias("n_pieces"), "log_prob", "perturbed", "inclusion",
         F.crc32(F.array_join("ids", " ")).alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"),

@@ -13,177 +13,431 @@ the children get one value together, drawn below it, and wait.  That is A-star s
 subtrees only the k best can ever come up, and no more are kept.
 
 The k + 1st value is the threshold of the sample: a segmentation of log-probability p is included with probability
-1 - exp(-exp(p - threshold)), which is its inclusion score.  Random numbers depend on the row's key and the seed alone.
+1 - exp(-exp(p - threshold)), which is its inclusion score.  Random numbers depend on the row's key and the seed alone: they
+are hashes of these, the number of the segmentation, the word and the piece.
+
+All lattices of a part of the rows are built at once, and so are the walks: words are drawn apart from each other, so every
+word of every text makes its next step together, and only the subtrees that wait are kept text by text.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from random import Random
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import lean, slices
+
 WORD = re.compile("▁*[^▁]+|▁+")
 SAMPLES = "row_key string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
-Node = list[tuple[float, float, int, tuple[int, ...]]]  # edges: probability up to and with it, its log, end, ids
+#: What a character is shifted by in a key of the trie, and the golden ratio of the hash.
+CHARACTER, GOLDEN = 21, 0x9E3779B97F4A7C15
+
+
+def _hash(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """The ``n``-th number of the stream that begins at ``x`` (splitmix64)."""
+    z = np.asarray(n).astype(np.uint64) * np.uint64(GOLDEN) + x
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _uniform(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Between 0 and 1, neither included."""
+    return ((_hash(x, n) >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52
 
 
 class Vocabulary:
-    def __init__(self, path: str, shift: float = 2.7, exponent: float = 1.0, keep: int = 30_000):
+    def __init__(self, path: str, shift: float = 2.7, exponent: float = 1.0):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         special = [i for i in range(size) if self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)]
-        self.byte = {}
-        self.pieces: dict[str, tuple[int, float]] = {}
-        for i in set(range(size)).difference(special):
+        self.byte, self.weight = {}, np.zeros(size)
+        pieces: dict[str, int] = {}
+        for i in sorted(set(range(size)).difference(special)):
             piece = self.model.id_to_piece(i)
             if self.model.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
             else:
-                self.pieces[piece] = (i, -exponent * math.log(-self.model.get_score(i) + shift))
+                pieces[piece], self.weight[i] = i, -exponent * math.log(-self.model.get_score(i) + shift)
         self.rare = -exponent * math.log(size + shift)  # of a byte
-        self.longest = max(map(len, self.pieces))
+        self.longest = max(map(len, pieces))
         self.names = [self.model.id_to_piece(i) for i in range(size)]
         self.value = {i: b for b, i in self.byte.items()}
-        self.keep, self.lattices = keep, {}
-
-    def lattice(self, word: str) -> list[Node]:
-        """For every position of a word its edges; their probabilities sum to 1."""
-        if (known := self.lattices.get(word)) is not None:
-            return known
-        n, pieces = len(word), self.pieces
-        mass = [0.0] * (n + 1)
-        nodes: list[Node] = [[] for _ in range(n)]
-        for i in range(n - 1, -1, -1):
-            edges = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (found := pieces.get(word[i:j])) is not None:
-                    edges.append((found[1] + mass[j], j, (found[0],)))
-            if not edges or edges[0][1] > i + 1:
-                raw = word[i].encode("utf-8", "surrogatepass")
-                edges.insert(0, (len(raw) * self.rare + mass[i + 1], i + 1, tuple(self.byte[b] for b in raw)))
-            top = max(e[0] for e in edges)
-            mass[i] = top + math.log(sum(math.exp(e[0] - top) for e in edges))
-            total = 0.0
-            for weight, j, ids in edges:
-                total += math.exp(weight - mass[i])
-                nodes[i].append((total, weight - mass[i], j, ids))
-        if len(self.lattices) >= self.keep:
-            self.lattices.clear()
-        if n <= 64:
-            self.lattices[word] = nodes
-        return nodes
-
-    def chain(self, text: str | None) -> list[list[Node]]:
-        return [self.lattice(w) for w in WORD.findall("▁" + text.replace(" ", "▁"))] if text else []
+        self._plant(pieces)
+        # Bytes of every piece for decoding, and whether a piece by itself is text that begins with a space or a letter.
+        spelt = [bytes([self.value[i]]) if i in self.value else name.replace("▁", " ").encode() for i, name in enumerate(self.names)]
+        self.sizes = np.array([len(b) for b in spelt], np.int64)
+        self.places, self.spelling = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(spelt), np.uint8)
+        self.raw = np.array([self.value.get(i, 0) >= 128 for i in range(size)])
+        self.plain = np.array([b[:1] < b"\x80" and b != b"" for b in spelt])
+
+    def _plant(self, pieces: dict[str, int]) -> None:
+        """The pieces as a trie: a table that gives a state and a character the next state, by open addressing."""
+        states, ends = {}, [-1]
+        for piece, i in pieces.items():
+            at = 0
+            for c in piece:
+                at = states.setdefault(at << CHARACTER | ord(c), len(ends))
+                if at == len(ends):
+                    ends.append(-1)
+            ends[at] = i
+        self.ends = np.array(ends, np.int32)
+        bits = (4 * len(states)).bit_length()
+        self.slots, self.keys, self.next = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        keys, values = np.fromiter(states, np.int64), np.fromiter(states.values(), np.int32)
+        for key, slot, value in zip(keys.tolist(), self._slot(keys).tolist(), values.tolist()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % len(self.keys)
+            self.keys[slot], self.next[slot] = key, value
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(GOLDEN)) >> self.slots).astype(np.int64)
+
+    def step(self, state: np.ndarray, character: np.ndarray) -> np.ndarray:
+        """The states after a character, -1 where no piece goes on like that."""
+        key = state.astype(np.int64) << CHARACTER | character
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.next[slot], np.int32(-1))
+        look = np.nonzero((there != key) & (there >= 0))[0]
+        while len(look):
+            slot[look] = (slot[look] + 1) % len(self.keys)
+            there = self.keys[slot[look]]
+            same = there == key[look]
+            out[look[same]] = self.next[slot[look[same]]]
+            look = look[~same & (there >= 0)]
+        return out
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        marked = "▁" + text.replace(" ", "▁")
+        if "▁▁" in marked or marked[-1] == "▁":
+            return WORD.findall(marked)
+        return ["▁" + w for w in marked[1:].split("▁")]
+
+    def chain(self, text: str | None) -> Chain:
+        return Chain(self, self.words(text))
+
+    def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """The ids of edges as ``Lattices.piece`` has them, and how many each has, None for one each."""
+        at = np.nonzero(edges < 0)[0]
+        if not len(at):
+            return edges, None
+        points, which = np.unique(-1 - edges[at].astype(np.int64), return_inverse=True)
+        spelt = [[self.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in points.tolist()]
+        n = np.ones(len(edges), np.int64)
+        n[at] = np.array([len(s) for s in spelt])[which]
+        out = np.repeat(edges, n)
+        starts = (np.cumsum(n) - n)[at]
+        for k in range(4):
+            more = np.array([s[k] if k < len(s) else -1 for s in spelt], np.int32)[which]
+            out[starts[more >= 0] + k] = more[more >= 0]
+        return out, n
 
     def decode(self, ids: list[int]) -> str:
         """The text whose segmentation this is; bytes that aren't valid UTF-8 become U+FFFD."""
         out = b"".join(bytes([self.value[i]]) if i in self.value else self.names[i].encode() for i in ids)
         return out.decode("utf-8", "replace").replace("▁", " ")[1:]
 
+    def decode_lists(self, lists: pa.Array) -> pa.Array:
+        """``decode`` of every list, null for null.  Lists with bytes of longer characters are decoded one by one."""
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(n)
+        some, starts = n > 0, ends - n
+        sizes, places = self.sizes[flat], self.places[flat]
+        odd = np.zeros(len(n), bool)
+        odd[np.searchsorted(ends, np.nonzero(self.raw[flat])[0], side="right")] = True
+        odd[some] |= ~self.plain[flat[starts[some]]]
+        sizes[starts[some]] -= 1  # without the first character
+        places[starts[some]] += 1
+        past = np.cumsum(sizes)
+        data = self.spelling[np.repeat(places - past + sizes, sizes) + np.arange(past[-1] if len(past) else 0)]
+        offsets = np.concatenate([[0], np.concatenate([[0], past])[ends]])
+        kind = pa.large_string() if offsets[-1] >= 2**31 else pa.string()
+        null = pc.is_null(lists)
+        if not odd.any():
+            buffers = [None, pa.py_buffer(offsets.astype(np.int64 if kind == pa.large_string() else np.int32)), pa.py_buffer(data)]
+            return pc.if_else(null, pa.scalar(None, kind), pa.Array.from_buffers(kind, len(n), buffers)).cast(pa.string())
+        whole = data.tobytes()
+        each = [self.decode(flat[s:e].tolist()) if o else whole[a:b].decode() for o, s, e, a, b in zip(odd.tolist(), starts.tolist(), ends.tolist(), offsets[:-1].tolist(), offsets[1:].tolist())]
+        return pa.array([None if x else t for x, t in zip(null.to_pylist(), each)], pa.string())
+
+
+class Chain(NamedTuple):
+    """A text's words, each a lattice of its own."""
+
+    vocabulary: Vocabulary
+    words: list[str]
+
+
+class Lattices:
+    """The lattices of distinct words.  Nodes are numbered by their distance from the end of their word, so that the nodes
+    whose followers are done stand together; the edges of a node follow each other, the longest first.
+
+    ``first``: where a node's edges begin; ``to`` (-1: the word ends), ``piece`` (of bytes -1 - the character),
+    ``logp``, ``past`` (probability of the node's edges up to this) and ``rest`` (log-probability of all its others) of edges."""
+
+    def __init__(self, own: Vocabulary, words: list[str]):
+        sizes = np.array([len(w) for w in words], np.int64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(chars))
+        order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
+        number = np.empty(len(chars), np.int32)
+        number[order] = np.arange(len(chars), dtype=np.int32)
+        self.starts = number[ends - sizes]
+        left = left[order]
+        found, count = [], np.zeros(len(chars), np.int32)
+        node, at, state = np.arange(len(chars), dtype=np.int32), order, np.zeros(len(chars), np.int32)
+        for n in range(1, own.longest + 1):
+            long = np.searchsorted(left[node], n)  # nodes stay in order
+            node, at, state = node[long:], at[long:], own.step(state[long:], chars[at[long:] + n - 1])
+            if n == 1:
+                bare = np.ones(len(chars), bool)
+                bare[node[(state >= 0) & (own.ends[state] >= 0)]] = False
+                raw = np.nonzero(bare)[0]
+                byte = chars[order[raw]]
+                width = 1 + (byte >= 0x80) + (byte >= 0x800) + (byte >= 0x10000)
+                found.append((raw.astype(np.int32), self._after(number, order[raw], left[raw], 1), (-1 - byte).astype(np.int32), width * own.rare))
+            on = state >= 0
+            node, at, state = node[on], at[on], state[on]
+            if not len(node):
+                break
+            piece = own.ends[state]
+            has = piece >= 0
+            found.append((node[has], self._after(number, at[has], left[node[has]], n), piece[has], own.weight[piece[has]]))
+        for part in found:
+            count[part[0]] += 1  # a step meets a node once
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        m = int(self.first[-1])
+        self.to, self.piece, self.logp = np.empty(m, np.int32), np.empty(m, np.int32), np.empty(m)
+        slot = self.first[1:].copy()
+        while found:
+            of, to, piece, w = found.pop(0)
+            s = slot[of] - 1
+            slot[of] = s
+            self.to[s], self.piece[s], self.logp[s] = to, piece, w
+        mass = np.zeros(len(chars) + 1)  # the last is where words end
+        borders = np.concatenate([[0], np.nonzero(np.diff(left))[0] + 1, [len(left)]]) if len(left) else [0]
+        for a, b in zip(borders[:-1], borders[1:]):
+            x, y = self.first[a], self.first[b]
+            own_edges = self.logp[x:y]
+            own_edges += mass[self.to[x:y]]
+            mass[a:b] = np.logaddexp.reduceat(own_edges, self.first[a:b] - x)
+        self.logp -= np.repeat(mass[:-1], count)
+        p = np.exp(self.logp)
+        self.past, self.rest = p.copy(), np.zeros(m)
+        many, k = np.nonzero(count > 1)[0], 1
+        while len(many):
+            e, z = self.first[many] + k, self.first[many + 1] - 1 - k
+            self.past[e] += self.past[e - 1]
+            self.rest[z] = self.rest[z + 1] + p[z + 1]
+            k += 1
+            many = many[count[many] > k]
+        p[1:] = self.past[:-1]
+        p[self.first[:-1]] = 0.0
+        self.rest += p
+        with np.errstate(divide="ignore"):
+            np.log(self.rest, out=self.rest)
+        self.past[self.first[1:] - 1] = 2.0  # rounded or not, the last edge ends the node
+
+    @staticmethod
+    def _after(number: np.ndarray, at: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+        """The node ``n`` characters on."""
+        inside = left > n
+        return np.where(inside, number[np.where(inside, at + n, 0)], np.int32(-1))
+
+    def walk(self, node: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From every node to the end of its word: the edges drawn, one walk after the other, and how many each has."""
+        steps, n = [], 0
+        active = np.arange(len(node))
+        count = np.zeros(len(node), np.int64)
+        while len(active):
+            u = _uniform(base, 2 * n)
+            e = self.first[node]
+            wrong = np.nonzero(self.past[e] < u)[0]
+            while len(wrong):
+                e[wrong] += 1
+                wrong = wrong[self.past[e[wrong]] < u[wrong]]
+            steps.append((active, e))
+            n += 1
+            count[active] = n
+            node = self.to[e]
+            on = node >= 0
+            active, node, base = active[on], node[on], base[on]
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for k, (who, e) in enumerate(steps):
+            out[begin[who] + k] = e
+        return out, count
+
+
+class Sample(NamedTuple):
+    pieces: np.ndarray
+    log_prob: float
+    perturbed: float
+    inclusion: float
+
+
+def _numbered(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Every word's place in the list of distinct words, and that list."""
+    try:
+        every = pa.array(words, pa.string()).dictionary_encode()
+        return every.indices.to_numpy(), every.dictionary.to_pylist()
+    except UnicodeEncodeError:  # half of a pair that makes a character
+        places: dict[str, int] = {}
+        return np.array([places.setdefault(w, len(places)) for w in words], np.int64), list(places)
+
+
+def sample(own: Vocabulary, texts: list[list[str]], seeds: list[int], k: int) -> list[list[Sample]]:
+    """For each text, as words, up to ``k`` distinct segmentations, best first; their ``pieces`` are for ``Vocabulary.ids``."""
+    numbers, distinct = _numbered([w for words in texts for w in words])
+    lat = Lattices(own, distinct)
+    starts = lat.starts[numbers]
+    bounds = np.concatenate([[0], np.cumsum([len(words) for words in texts])]).astype(np.int64)
+    seed = _hash(np.array(seeds, np.uint64), 1)
+    found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
+    # Waiting subtrees, best first: (value, segmentation it left, number of the piece, log-mass of the node, edges taken).
+    waiting: list[list[tuple]] = [[] for _ in texts]
+    roots = (-np.log(-np.log(_uniform(seed, 0)))).tolist()
+    none = np.zeros(0, np.int64)
+    for turn in range(k):
+        # Texts, values, log-masses, edges so far, and where the words that are drawn anew begin.
+        jobs, nodes, places, extra = [], [], [], []
+        own_seed = _hash(seed, turn + 1)
+        first, second = (_uniform(own_seed, -n).tolist() for n in (1, 2))
+        for d in range(len(texts)):
+            a, b = int(bounds[d]), int(bounds[d + 1])
+            if not turn:
+                jobs.append((d, roots[d], 0.0, none))
+            elif waiting[d]:
+                value, s, t, logm, taken = waiting[d].pop(0)
+                path = found[d][s][0]
+                n = int(np.searchsorted(lat.first, path[t], side="right"))
+                x, y = int(lat.first[n - 1]), int(lat.first[n])
+                p = np.exp(lat.logp[x:y]).tolist()
+                free = [e for e in range(x, y) if e not in taken]
+                u, at = first[d] * sum(p[e - x] for e in free), 0.0
+                for pick in free:
+                    at += p[pick - x]
+                    if at >= u:
+                        break
+                rest = [p[e - x] for e in free if e != pick]
+                if rest:
+                    other = -float(np.logaddexp(-value, math.log(-math.log(second[d])) - logm - math.log(max(sum(rest), 1e-300))))
+                    extra.append((d, (other, turn, t, logm, (*taken, pick))))
+                jobs.append((d, value, logm + float(lat.logp[pick]), np.append(path[:t], pick)))
+                a += int(np.count_nonzero(lat.to[path[:t]] < 0))
+                if lat.to[pick] >= 0:
+                    nodes.append(lat.to[pick : pick + 1])
+                    places.append(np.array([a], np.int64))
+                a += 1
+            else:
+                continue
+            nodes.append(starts[a:b])
+            places.append(np.arange(a, b))
+            jobs[-1] += (sum(map(len, nodes[-2:])) if turn and lat.to[jobs[-1][3][-1]] >= 0 else b - a,)
+        if not jobs:
+            break
+        of = np.array([j[0] for j in jobs])
+        words = np.array([j[4] for j in jobs], np.int64)
+        place = np.concatenate(places) - np.repeat(bounds[of], words)
+        base = _hash(np.repeat(own_seed[of], words), place)
+        edges, count = lat.walk(np.concatenate(nodes), base)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        cuts = ends[np.concatenate([[0], np.cumsum(words)])]
+        logp = lat.logp[edges]
+        run = np.empty(len(edges))
+        for (_, _, logm, _, _), a, b in zip(jobs, cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b > a:
+                np.cumsum(logp[a:b], out=run[a:b])
+                run[a:b] += logm
+        # Each edge's siblings as one subtree: its value, drawn below that of the walk.
+        forks = np.nonzero(lat.rest[edges] > -np.inf)[0]
+        fork_cuts = np.searchsorted(forks, cuts)
+        word = np.repeat(np.arange(len(count)), count)[forks]
+        u = _uniform(base[word], 2 * (forks - ends[word]) + 1)
+        before = (run - logp)[forks]
+        # A value grows with this number, so the best are chosen by it.
+        below = np.log(-np.log(u)) - before - lat.rest[edges[forks]]
+        room = k - turn  # subtrees that can still come up, and one for the threshold
+        for (d, value, logm, so_far, _), a, b, x, y in zip(jobs, cuts[:-1].tolist(), cuts[1:].tolist(), fork_cuts[:-1].tolist(), fork_cuts[1:].tolist()):
+            best = np.argpartition(below[x:y], room)[:room].tolist() if y - x > room else range(y - x)
+            for f in best:
+                e = int(forks[x + f])
+                waiting[d].append((-float(np.logaddexp(-value, below[x + f])), turn, len(so_far) + e - a, float(before[x + f]), (int(edges[e]),)))
+            path = edges[a:b] if not len(so_far) else np.concatenate([so_far, edges[a:b]])
+            found[d].append((path, float(run[b - 1]) if b > a else logm, value))
+        for d, entry in extra:
+            waiting[d].append(entry)
+        for d in of.tolist():
+            waiting[d].sort(reverse=True)
+            del waiting[d][room:]
+    out = []
+    for own_found, others in zip(found, waiting):
+        threshold = others[0][0] if others else -math.inf
+        out.append([Sample(lat.piece[path], p, v, -math.expm1(-math.exp(min(p - threshold, 700.0)))) for path, p, v in own_found])
+    return out
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _below(limit: float, log_mass: float, u: float) -> float:
-    """A Gumbel variable of this log-mass, given that it is below the limit, from a uniform number."""
-    a, b = -limit, -log_mass + math.log(-math.log(u))
-    top = max(a, b)
-    return -(top + math.log1p(math.exp(min(a, b) - top)))
+def top_segmentations(chain: Chain, k: int, seed: int) -> list[tuple[tuple[int, ...], float, float, float]]:
+    """Up to ``k`` distinct segmentations as (ids, log-probability, perturbed value, inclusion score), best first."""
+    return [(tuple(chain.vocabulary.ids(x.pieces)[0].tolist()), *x[1:]) for x in sample(chain.vocabulary, [chain.words], [seed], k)[0]]
 
 
-def top_segmentations(chain: list[list[Node]], k: int, seed: int) -> list[tuple[tuple[int, ...], float, float, float]]:
-    """Up to ``k`` distinct segmentations as (ids, log-probability, perturbed value, inclusion score), best first."""
-    random = Random(seed).random
-    root = -math.log(-math.log(random() or 0.5))
-    # (value, tie break, word, position, log-mass of the node, edges already taken, path); a path is a linked list of ids
-    waiting: list[tuple] = [(root, 0, 0, 0, 0.0, (), None)]
-    found, count = [], 0
-    while waiting and len(found) < k:
-        best = max(waiting)
-        waiting.remove(best)
-        value, _, w, i, logp, taken, path = best
-        room = k - len(found)  # subtrees that can still come up, and one for the threshold
-        heapq.heapify(waiting)
-        while w < len(chain):
-            nodes = chain[w]
-            while i < len(nodes):
-                edges = nodes[i]
-                if len(edges) > 1:
-                    gone = sum(math.exp(edges[t][1]) for t in taken) if taken else 0.0
-                    if taken:
-                        free = [t for t in range(len(edges)) if t not in taken]
-                        u, at = random() * sum(math.exp(edges[t][1]) for t in free), 0.0
-                        for pick in free:
-                            at += math.exp(edges[pick][1])
-                            if at >= u:
-                                break
-                    else:
-                        u, pick = random(), 0
-                        while edges[pick][0] < u and pick < len(edges) - 1:
-                            pick += 1
-                    edge = edges[pick]
-                    if len(edges) > len(taken) + 1:
-                        rest = max(1.0 - gone - math.exp(edge[1]), 1e-300)
-                        other = _below(value, logp + math.log(rest), random() or 0.5)
-                        if len(waiting) < room or other > waiting[0][0]:
-                            count += 1
-                            entry = (other, -count, w, i, logp, (*taken, pick), path)
-                            heapq.heappush(waiting, entry) if len(waiting) < room else heapq.heapreplace(waiting, entry)
-                    taken = ()
-                else:
-                    edge = edges[0]
-                logp += edge[1]
-                i = edge[2]
-                path = (path, edge[3])
-            w, i = w + 1, 0
-        ids: list[tuple[int, ...]] = []
-        while path is not None:
-            ids.append(path[1])
-            path = path[0]
-        found.append((tuple(x for part in reversed(ids) for x in part), logp, value))
-    threshold = max(waiting)[0] if waiting else -math.inf
-    return [(ids, p, v, -math.expm1(-math.exp(min(p - threshold, 700.0)))) for ids, p, v in found]
-
-
-def sample_segmentations(rows: DataFrame, model_path: str, k: int = 3, seed: int = 1, key_col: str = "row_key", text_col: str = "text") -> DataFrame:
+def sample_segmentations(rows: DataFrame, model_path: str, k: int = 3, seed: int = 1, key_col: str = "row_key", text_col: str = "text", out_col: str | None = None) -> DataFrame:
     """``(row_key, sample, ids, log_prob, perturbed, inclusion)``: for every row up to ``k`` distinct segmentations of its
     whole text, numbered from 1 in the order of their perturbed values.
 
     A text with fewer segmentations gives all it has, each with the inclusion score 1.  A null or empty text has one, the
     empty one.  Rows that repeat a key and a text give the same rows again; a null key is a key.  An empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored.  With ``out_col`` every row has the text that ``decode`` makes of its ids, too, without
+    their moving to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model_path)
-        kinds = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64())
-        names = ["row_key", "sample", "ids", "log_prob", "perturbed", "inclusion"]
-        for b in batches:
-            out, held = [], 0
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                start = xxhash.xxh64_intdigest("" if key is None else key, seed)
-                for n, (ids, p, value, inclusion) in enumerate(top_segmentations(own.chain(text), k, start), 1):
-                    out.append((key, n, ids, p, value, inclusion))
-                    held += len(ids)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, kinds)], names)
-
-    return rows.select(F.col(key_col).cast("string").alias("row_key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SAMPLES)
+        names = ["row_key", "sample", "ids", "log_prob", "perturbed", "inclusion", *([out_col] if out_col else [])]
+        for b in slices(batches, 1, 1 << 20):
+            keys = b.column(0).to_pylist()
+            seeds = [xxhash.xxh64_intdigest("" if key is None else key, seed) for key in keys]
+            of = sample(own, [own.words(text) for text in b.column(1).to_pylist()], seeds, k)
+            rows = [x for found in of for x in found]
+            ids, n = own.ids(np.concatenate([x.pieces for x in rows]) if rows else np.zeros(0, np.int32))
+            ends = np.cumsum([0, *(len(x.pieces) for x in rows)])
+            if n is not None:
+                ends = np.concatenate([[0], np.cumsum(n)])[ends]
+            columns = [
+                pa.array([key for key, found in zip(keys, of) for _ in found], pa.string()),
+                pa.array([m + 1 for found in of for m in range(len(found))], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+                *(pa.array([x[f] for x in rows], pa.float64()) for f in (1, 2, 3)),
+            ]
+            if out_col:
+                columns.append(own.decode_lists(columns[2]))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = f"{SAMPLES}, `{out_col}` string" if out_col else SAMPLES
+    return rows.select(F.col(key_col).cast("string").alias("row_key"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), kinds)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -193,8 +447,13 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model_path)
-        for b in batches:
-            texts = [None if ids is None else own.decode(ids) for ids in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < whole.num_rows:  # parts of about half a million ids, or one row
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, side="right")))
+                b = whole.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*b.columns, own.decode_lists(b.column(place))], [*b.schema.names, out_col])
+                at = to
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
