@@ -41,14 +41,20 @@ WORD = re.compile("▁*[^▁]+|▁+")
 SAMPLES = "row_key string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 #: What a character is shifted by in a key of the trie, and the golden ratio of the hash.
 CHARACTER, GOLDEN = 21, 0x9E3779B97F4A7C15
+#: Siblings are looked at until a walk's log-probability has fallen by the first.  log(-log(u)) is above minus the second for
+#: every u below 1 (-36.8, and some for rounding), so what comes later has at least the difference.
+REACH, EASIEST = 64.0, 38.0
 
 
 def _hash(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     """The ``n``-th number of the stream that begins at ``x`` (splitmix64)."""
     z = np.asarray(n).astype(np.uint64) * np.uint64(GOLDEN) + x
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    shifted = np.empty_like(z)
+    for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z ^= np.right_shift(z, np.uint64(bits), out=shifted)
+        z *= np.uint64(factor)
+    z ^= np.right_shift(z, np.uint64(31), out=shifted)
+    return z
 
 
 def _uniform(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
@@ -76,10 +82,11 @@ class Vocabulary:
         self.names = [self.model.id_to_piece(i) for i in range(size)]
         self.value = {i: b for b, i in self.byte.items()}
         self._plant(pieces)
-        # Bytes of every piece for decoding, and whether a piece by itself is text that begins with a space or a letter.
+        self.known = Known(self)
+        # Bytes of every piece for decoding, then the same without the first one; and whether a piece by itself is text that
+        # begins with a space or a letter.
         spelt = [bytes([self.value[i]]) if i in self.value else name.replace("▁", " ").encode() for i, name in enumerate(self.names)]
-        self.sizes = np.array([len(b) for b in spelt], np.int64)
-        self.places, self.spelling = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(spelt), np.uint8)
+        self.spelling = pa.array(spelt + [x[1:] for x in spelt], pa.large_binary())
         self.raw = np.array([self.value.get(i, 0) >= 128 for i in range(size)])
         self.plain = np.array([b[:1] < b"\x80" and b != b"" for b in spelt])
 
@@ -128,6 +135,23 @@ class Vocabulary:
             return WORD.findall(marked)
         return ["▁" + w for w in marked[1:].split("▁")]
 
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """``words`` of every text: each word's place among the distinct words, these, and how many words each text has."""
+        spaced = pc.fill_null(texts.cast(pa.string()), "")
+        if pc.any(pc.match_substring(spaced, "▁")).as_py():
+            spaced = pc.replace_substring(spaced, "▁", " ")
+        spaced = pc.if_else(pc.equal(spaced, ""), "", pc.binary_join_element_wise(" ", spaced, ""))
+        _, borders, data = spaced.buffers()
+        borders = np.frombuffer(borders, np.int32)[spaced.offset : spaced.offset + len(spaced) + 1] if len(spaced) else np.zeros(1, np.int32)
+        blank = np.frombuffer(data or b"", np.uint8)[: borders[-1]] == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[borders[:-1][borders[1:] > borders[:-1]]] = True
+        begins[: borders[0]] = False
+        at = np.append(np.nonzero(begins)[0], borders[-1]).astype(np.int32)
+        every = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data or pa.py_buffer(b"")).dictionary_encode()
+        return every.indices.to_numpy(), pc.replace_substring(every.dictionary, " ", "▁"), np.diff(np.searchsorted(at[:-1], borders))
+
     def chain(self, text: str | None) -> Chain:
         return Chain(self, self.words(text))
 
@@ -158,15 +182,15 @@ class Vocabulary:
         n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(n)
         some, starts = n > 0, ends - n
-        sizes, places = self.sizes[flat], self.places[flat]
         odd = np.zeros(len(n), bool)
         odd[np.searchsorted(ends, np.nonzero(self.raw[flat])[0], side="right")] = True
         odd[some] |= ~self.plain[flat[starts[some]]]
-        sizes[starts[some]] -= 1  # without the first character
-        places[starts[some]] += 1
-        past = np.cumsum(sizes)
-        data = self.spelling[np.repeat(places - past + sizes, sizes) + np.arange(past[-1] if len(past) else 0)]
-        offsets = np.concatenate([[0], np.concatenate([[0], past])[ends]])
+        cut = flat.copy()
+        cut[starts[some]] += len(self.names)  # without the first character
+        spelt = self.spelling.take(pa.array(cut))
+        _, past, data = spelt.buffers()
+        data = np.frombuffer(data or b"", np.uint8)
+        offsets = np.frombuffer(past, np.int64, len(cut) + 1)[np.concatenate([[0], ends])] if len(cut) else np.zeros(len(n) + 1, np.int64)
         kind = pa.large_string() if offsets[-1] >= 2**31 else pa.string()
         null = pc.is_null(lists)
         if not odd.any():
@@ -188,7 +212,8 @@ class Lattices:
     """The lattices of distinct words.  Nodes are numbered by their distance from the end of their word, so that the nodes
     whose followers are done stand together; the edges of a node follow each other, the longest first.
 
-    ``first``: where a node's edges begin; ``to`` (-1: the word ends), ``piece`` (of bytes -1 - the character),
+    ``starts``: a word's first node; ``first``: where a node's edges begin; ``to`` (-1: the word ends), ``piece`` (of bytes
+    -1 - the character),
     ``logp``, ``past`` (probability of the node's edges up to this) and ``rest`` (log-probability of all its others) of edges."""
 
     def __init__(self, own: Vocabulary, words: list[str]):
@@ -286,6 +311,59 @@ class Lattices:
         return out, count
 
 
+class Known:
+    """Lattices of frequent words, kept between the parts of the rows.  What they give doesn't depend on which those are."""
+
+    #: Parts that words are counted over, parts until they are counted again, characters of the words that are kept, and bytes
+    #: of distinct words above which a part stands alone.
+    RECENT, AGAIN, ROOM, LONG = 8, 32, 600_000, 2 << 20
+
+    def __init__(self, own: Vocabulary):
+        self.own, self.parts = own, 0
+        self.words, self.kept = pa.array([], pa.string()), Lattices(own, [])
+        self.recent: list[pa.Array] = []
+        self.room: dict[str, np.ndarray] = {}
+
+    def meet(self, words: pa.Array | list[str]) -> tuple[Lattices, np.ndarray]:
+        """Lattices of distinct words (and of others), and the nodes where theirs begin."""
+        if not isinstance(words, pa.Array) or words.nbytes > self.LONG:  # of one very long text: nothing is held beside it
+            made = Lattices(self.own, words if isinstance(words, list) else words.to_numpy(zero_copy_only=False).tolist())
+            return made, made.starts
+        self.recent = [*self.recent[1 - self.RECENT :], words]
+        self.parts += 1
+        if self.parts % self.AGAIN == 4:
+            self._keep()
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        new = at < 0
+        made, kept = Lattices(self.own, words.filter(pa.array(new)).to_numpy(zero_copy_only=False).tolist()), self.kept
+        nodes = np.int32(len(kept.first) - 1)
+        made.to[made.to >= 0] += nodes
+        starts = np.empty(len(words), np.int32)
+        starts[new], starts[~new] = made.starts + nodes, kept.starts[at[~new]]
+        both = Lattices.__new__(Lattices)
+        both.first = self._join("first", kept.first, made.first[1:] + kept.first[-1])
+        for name in ("to", "piece", "logp", "past", "rest"):
+            setattr(both, name, self._join(name, getattr(kept, name), getattr(made, name)))
+        return both, starts
+
+    def _join(self, name: str, kept: np.ndarray, more: np.ndarray) -> np.ndarray:
+        n = len(kept)
+        if name not in self.room or len(self.room[name]) < n + len(more):
+            self.room[name] = np.empty((n + len(more)) * 5 // 4, kept.dtype)
+            self.room[name][:n] = kept
+        self.room[name][n : n + len(more)] = more
+        return self.room[name][: n + len(more)]
+
+    def _keep(self) -> None:
+        """Words that more than one of the last parts has, the most frequent ones first."""
+        words, counts = pa.chunked_array(self.recent).value_counts().flatten()
+        words, counts = words.filter(pc.greater(counts, 1)), counts.filter(pc.greater(counts, 1))
+        order = np.argsort(-counts.to_numpy(), kind="stable")
+        fits = np.cumsum(pc.utf8_length(words).to_numpy()[order], dtype=np.int64) <= self.ROOM
+        self.words, self.room = words.take(pa.array(order[fits])), {}
+        self.kept = Lattices(self.own, self.words.to_numpy(zero_copy_only=False).tolist())
+
+
 class Sample(NamedTuple):
     pieces: np.ndarray
     log_prob: float
@@ -293,11 +371,11 @@ class Sample(NamedTuple):
     inclusion: float
 
 
-def _numbered(words: list[str]) -> tuple[np.ndarray, list[str]]:
-    """Every word's place in the list of distinct words, and that list."""
+def _numbered(words: list[str]) -> tuple[np.ndarray, pa.Array | list[str]]:
+    """Every word's place among the distinct words, and these."""
     try:
         every = pa.array(words, pa.string()).dictionary_encode()
-        return every.indices.to_numpy(), every.dictionary.to_pylist()
+        return every.indices.to_numpy(), every.dictionary
     except UnicodeEncodeError:  # half of a pair that makes a character
         places: dict[str, int] = {}
         return np.array([places.setdefault(w, len(places)) for w in words], np.int64), list(places)
@@ -305,10 +383,14 @@ def _numbered(words: list[str]) -> tuple[np.ndarray, list[str]]:
 
 def sample(own: Vocabulary, texts: list[list[str]], seeds: list[int], k: int) -> list[list[Sample]]:
     """For each text, as words, up to ``k`` distinct segmentations, best first; their ``pieces`` are for ``Vocabulary.ids``."""
-    numbers, distinct = _numbered([w for words in texts for w in words])
-    lat = Lattices(own, distinct)
-    starts = lat.starts[numbers]
-    bounds = np.concatenate([[0], np.cumsum([len(words) for words in texts])]).astype(np.int64)
+    return draw(own, *_numbered([w for words in texts for w in words]), np.array([len(words) for words in texts], np.int64), seeds, k)
+
+
+def draw(own: Vocabulary, numbers: np.ndarray, distinct: pa.Array | list[str], sizes: np.ndarray, seeds: list[int], k: int) -> list[list[Sample]]:
+    """``sample`` for texts whose words are numbered, ``sizes`` of them in each."""
+    lat, starts = own.known.meet(distinct)
+    starts, texts = starts[numbers], range(len(sizes))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
     seed = _hash(np.array(seeds, np.uint64), 1)
     found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
     # Waiting subtrees, best first: (value, segmentation it left, number of the piece, log-mass of the node, edges taken).
@@ -361,25 +443,38 @@ def sample(own: Vocabulary, texts: list[list[str]], seeds: list[int], k: int) ->
         ends = np.concatenate([[0], np.cumsum(count)])
         cuts = ends[np.concatenate([[0], np.cumsum(words)])]
         logp = lat.logp[edges]
-        run = np.empty(len(edges))
+        run, stops = np.empty(len(edges)), []
         for (_, _, logm, _, _), a, b in zip(jobs, cuts[:-1].tolist(), cuts[1:].tolist()):
             if b > a:
                 np.cumsum(logp[a:b], out=run[a:b])
                 run[a:b] += logm
+            # Where the walk is this unlikely no sibling comes up any more, as a rule; that is checked below.
+            stops.append(min(b, b - int(np.searchsorted(run[a:b][::-1], logm - REACH)) + 1))
         # Each edge's siblings as one subtree: its value, drawn below that of the walk.
-        forks = np.nonzero(lat.rest[edges] > -np.inf)[0]
-        fork_cuts = np.searchsorted(forks, cuts)
-        word = np.repeat(np.arange(len(count)), count)[forks]
-        u = _uniform(base[word], 2 * (forks - ends[word]) + 1)
-        before = (run - logp)[forks]
-        # A value grows with this number, so the best are chosen by it.
-        below = np.log(-np.log(u)) - before - lat.rest[edges[forks]]
+        word = np.repeat(np.arange(len(count), dtype=np.int32), count)
+
+        def siblings(forks: np.ndarray) -> tuple[np.ndarray, ...]:
+            rest = lat.rest[edges[forks]]
+            some = rest > -np.inf
+            forks, rest, of_word = forks[some], rest[some], word[forks[some]]
+            u = _uniform(base[of_word], 2 * (forks - ends[of_word]) + 1)
+            before = run[forks] - logp[forks]
+            # A value grows with this number, so the best are chosen by it.
+            return forks, before, np.log(-np.log(u)) - before - rest
+
+        sizes = np.array(stops) - cuts[:-1]
+        every = siblings(np.repeat(np.array(stops) - np.cumsum(sizes), sizes) + np.arange(sizes.sum()))
+        xs, ys = np.searchsorted(every[0], cuts[:-1]).tolist(), np.searchsorted(every[0], stops).tolist()
         room = k - turn  # subtrees that can still come up, and one for the threshold
-        for (d, value, logm, so_far, _), a, b, x, y in zip(jobs, cuts[:-1].tolist(), cuts[1:].tolist(), fork_cuts[:-1].tolist(), fork_cuts[1:].tolist()):
-            best = np.argpartition(below[x:y], room)[:room].tolist() if y - x > room else range(y - x)
-            for f in best:
-                e = int(forks[x + f])
-                waiting[d].append((-float(np.logaddexp(-value, below[x + f])), turn, len(so_far) + e - a, float(before[x + f]), (int(edges[e]),)))
+        for (d, value, logm, so_far, _), a, b, stop, x, y in zip(jobs, cuts[:-1].tolist(), cuts[1:].tolist(), stops, xs, ys):
+            forks, before, below = (part[x:y] for part in every)
+            best = np.argpartition(below, room)[:room] if y - x > room else np.arange(y - x)
+            if stop < b and (y - x < room or below[best].max() > REACH - EASIEST - logm):
+                forks, before, below = siblings(np.arange(a, b))
+                best = np.argpartition(below, room)[:room] if len(forks) > room else np.arange(len(forks))
+            for f in best.tolist():
+                e = int(forks[f])
+                waiting[d].append((-float(np.logaddexp(-value, below[f])), turn, len(so_far) + e - a, float(before[f]), (int(edges[e]),)))
             path = edges[a:b] if not len(so_far) else np.concatenate([so_far, edges[a:b]])
             found[d].append((path, float(run[b - 1]) if b > a else logm, value))
         for d, entry in extra:
@@ -420,7 +515,7 @@ def sample_segmentations(rows: DataFrame, model_path: str, k: int = 3, seed: int
         for b in slices(batches, 1, 1 << 20):
             keys = b.column(0).to_pylist()
             seeds = [xxhash.xxh64_intdigest("" if key is None else key, seed) for key in keys]
-            of = sample(own, [own.words(text) for text in b.column(1).to_pylist()], seeds, k)
+            of = draw(own, *own.numbered(b.column(1)), seeds, k)
             rows = [x for found in of for x in found]
             ids, n = own.ids(np.concatenate([x.pieces for x in rows]) if rows else np.zeros(0, np.int32))
             ends = np.cumsum([0, *(len(x.pieces) for x in rows)])

@@ -79,3 +79,46 @@ def test_texts_read_back_beside_their_ids(spark):
     model = tokenizer_file("piece_bpe_32k.model")
     apart = segmentation.decode(segmentation.sample_segmentations(df, model), model).collect()
     assert segmentation.sample_segmentations(df, model, out_col="decoded").collect() == apart
+
+
+def test_texts_are_numbered_like_their_words(own):
+    texts = [*ODD, None, "▁", " \n ", "ends ", "a ▁ b", "x" * 3 + "  ", "same same same"]
+    for column in (pa.array(texts, pa.string()), pa.array(["cut off", *texts, "this too"], pa.string()).slice(1, len(texts))):
+        numbers, distinct, sizes = own.numbered(column)
+        words = distinct.to_pylist()
+        got = np.split(np.array([words[n] for n in numbers], object), np.cumsum(sizes)[:-1])
+        assert [list(x) for x in got] == [own.words(t) for t in texts]
+    assert [len(x) for x in own.numbered(pa.array([], pa.string()))] == [0, 0, 0]
+
+
+def drawn(own, texts):
+    found = segmentation.sample(own, [own.words(t) for t in texts], list(range(len(texts))), 3)
+    return [[(x.pieces.tolist(), *x[1:]) for x in of] for of in found]
+
+
+def test_lattices_of_frequent_words_are_kept(monkeypatch):
+    """They were made again for every part."""
+    own, built, make = segmentation.Vocabulary(tokenizer_file("piece_bpe_32k.model")), [], segmentation.Lattices.__init__
+    monkeypatch.setattr(segmentation.Lattices, "__init__", lambda self, own, words: (built.append(len(words)), make(self, own, words))[1])
+    r = random.Random(7)
+    again = [invented(r, 50) for _ in range(20)]
+    first = drawn(own, [*again, *ODD])
+    for n in range(40):  # words are counted again twice
+        assert drawn(own, [*again, *ODD, f"word{n} only{n} here{n}"])[: len(first)] == first
+    built.clear()
+    assert drawn(own, again) == first[: len(again)] and sum(built) == 0
+    monkeypatch.setattr(segmentation.Known, "LONG", 1000)  # a very long text
+    assert drawn(own, again) == first[: len(again)] and sum(built) > 0
+
+
+def test_siblings_that_cannot_come_up_are_not_drawn(own, monkeypatch):
+    """Each of a walk's edges had a number for its siblings; the walk's own edges need one each."""
+    text, numbers, uniform = invented(random.Random(8), 4000), [], segmentation._uniform
+    monkeypatch.setattr(segmentation, "_uniform", lambda x, n: (numbers.append(len(x)), uniform(x, n))[1])
+    found = drawn(own, [text])
+    assert sum(numbers) < 1.1 * sum(len(x[0]) for x in found[0])
+    texts = [text, *ODD, *(invented(random.Random(n), 40) for n in range(50))]
+    found = drawn(own, texts)
+    for reach in (0.0, 30.0, 38.5, 45.0, 1e9):  # looked at again as a whole always, sometimes and never; all of it at once
+        monkeypatch.setattr(segmentation, "REACH", reach)
+        assert drawn(own, texts) == found
